@@ -4,8 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaflow.llm import termfreq
-from glossaflow.session import read
+from glossaflow.llm import encoding, termfreq
+from glossaflow.session import read, spread
+
+
+def _texts(spark, sf_dir, names):
+    """(table_name, row_key, text) of the texts of some tables, each once per key."""
+    keys = {"documents": "doc_id", "passages": "passage_id", "annotations": "anno_key"}
+    parts = [read(spark, sf_dir, n).where("text is not null").select(F.lit(n).alias("table_name"), F.col(keys[n]).alias("row_key"), "text") for n in names]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def p1_repaired(spark, sf_dir):
+    """Each garbled text with what could be restored."""
+    texts = _texts(spark, sf_dir, ["documents", "passages"]).where(encoding.candidates(F.col("text")))
+    fixed = encoding.repaired(spread(texts), ["table_name", "row_key"]).where("garbled")
+    return fixed.groupBy("table_name", "row_key").agg(F.min(F.struct("text", "lossy")).alias("x")).select("table_name", "row_key", F.col("x.text").alias("restored"), F.col("x.lossy").alias("lossy"))
+
+
+def p1_found(spark, sf_dir):
+    return p1_repaired(spark, sf_dir).select("table_name", "row_key")
 
 
 def p3_terms(spark, sf_dir):
@@ -20,7 +41,7 @@ def p3_ngrams(spark, sf_dir):
     return termfreq.gram_counts(termfreq.annotation_values(read(spark, sf_dir, "annotations")), max_n=4)
 
 
-QUERIES = {"p3_found": p3_found, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
 
 _P3 = """
 WITH once AS (SELECT anno_key, min(text) AS term, arg_min(article_id, text) AS article_id FROM annotations WHERE text IS NOT NULL GROUP BY anno_key),

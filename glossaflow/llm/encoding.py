@@ -94,7 +94,7 @@ def _bytes(text: str, encoding: str) -> bytes:
 
 def cost(text: str) -> float:
     """The garbling cost of ``text``: its letters and signs that are out of place, weighted, and a little for each non-ASCII character."""
-    return sum(w * len(p.findall(text)) for w, p in _ODD) + 0.01 * sum(c > "\x7f" for c in text)
+    return sum(w * len(p.findall(text)) for w, p in _ODD) + 0.01 * len(_nonascii.findall(text))
 
 
 def _sound_run(run: str, new: str, before: str, after: str, encoding: str) -> bool:
@@ -221,7 +221,7 @@ def _foreign_hanzi(text: str) -> str:
 def _word_swap(text: str, pairs: list[tuple[str, str]]) -> str:
     """The swap of one-byte encodings that lowers the cost of ``text`` most, in the words that it improves."""
     best, least = text, (start := cost(text))
-    if least < 1:
+    if not any(p.search(text) for w, p in _ODD if w >= 1):
         return text
     for read_as, meant in pairs:
         for drop in (0.5, 0.04):
@@ -266,7 +266,13 @@ _all_high = re.compile(r"(?<![A-Za-z])[^\x00-\x7f]+(?![A-Za-z])")
 _piece_ru = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
+_swap_signs = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{4}|[╩╚■═╧]|[À-ÿ]{3}|[\x80-\x9f]")
+
+
 def _cyrillic_swap(text: str) -> str:
+    if not _swap_signs.search(text):
+        return text
+
     def piece(m: re.Match) -> str:
         p = m.group()
         high = [c for c in p if c > "\x7f"]
@@ -285,10 +291,7 @@ def _cyrillic_swap(text: str) -> str:
                 best, most = new, s + 0.01
         return best
 
-    new = _piece_ru.sub(piece, text)
-    if new != text and (m := re.search("[╩╚≈■═╧]", new)) and not re.search("[╩╚≈■═╧]", text.replace(m.group(), "")):
-        return new
-    return new
+    return _piece_ru.sub(piece, text)
 
 
 _ask = re.compile(
@@ -313,13 +316,34 @@ def lost_marks(text: str) -> list[int]:
 
 @cache
 def _suspects() -> re.Pattern:
-    """What may start a repair; text without is sound."""
-    parts = [f"[{_chars(e, 0xC2, 0xF4)}][{_chars(e, 0x80, 0xBF)}]" for e in READ_AS]
-    return re.compile("|".join([*parts, f"[\x80-\x9f�{_boxes}]", "[一-鿿]", "[¡-þ]{4}", *[p.pattern for w, p in _ODD if w >= 1], "[ЂЃЉЊЌЋЏђѓљњќћџЎўЈҐЄЇІіґєјЅѕї]", "[а-я][А-Я]", "[А-Я]{4}"]))
+    """What may start a repair; text without is sound. Leads and tails are those of UTF-8 characters that sound text has."""
+    parts = []
+    for e in READ_AS:
+        if e in ("cp866", "koi8_r"):
+            continue
+        lead = "".join(_chars(e, a, b) for a, b in ((0xC2, 0xC6), (0xCB, 0xD2), (0xE0, 0xE0), (0xE2, 0xE9), (0xEF, 0xF0)))
+        parts.append(f"[{lead}][{_chars(e, 0x80, 0xBF)}]")
+    return re.compile("|".join([*parts, f"[\x80-\x9f�{_boxes}]", "[¡-þ]{4}", *[p.pattern for w, p in _ODD if w >= 1], "[ЂЃЉЊЌЋЏђѓљњќћџЎўЈҐЄЇІіґєјЅѕї]", "[а-я][А-Я]", "[А-Я]{4}"]))
+
+
+_around = re.compile(r"[^\n]?[^\x00-\x7f]+[^\n]?", re.S)
+_nonascii = re.compile(r"[^\x00-\x7f]")
+
+
+def suspicious(text: str) -> bool:
+    """Whether the non-ASCII characters of ``text``, each with its neighbours, may be garbled."""
+    if text.isascii():
+        return False
+    near = "\n".join(_around.findall(text))
+    return bool(_suspects().search(near)) or (_hanzi.search(near) is not None and (_from_gbk(text) != text or _latin_with_hanzi(text)))
+
+
+def _latin_with_hanzi(text: str) -> bool:
+    return len(_latin.findall(text)) > 20 * len(_hanzi.findall(text)) and not _kana.search(text)
 
 
 def _weight(text: str) -> float:
-    return cost(text) + 0.02 * sum(c > "\x7f" for c in text)
+    return cost(text) + 0.02 * len(_nonascii.findall(text))
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
@@ -331,7 +355,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
     if not text:
         return text, False, False
     lost = bool(lost_marks(text)) if "?" in text else False
-    if text.isascii() or not _suspects().search(text):
+    if not suspicious(text):
         return text, lost, lost
     now = text
     for _ in range(MAX_LAYERS):
@@ -347,8 +371,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
         if _hanzi.search(now):
             if (new := _from_gbk(now)) != now:
                 options.append((_weight(new) - 1, new))
-            letters = len(_latin.findall(now))
-            if letters > 20 * len(_hanzi.findall(now)) and not _kana.search(now) and (new := _foreign_hanzi(now)) != now:
+            if _latin_with_hanzi(now) and (new := _foreign_hanzi(now)) != now:
                 options.append((_weight(new) - 1, new))
         if options:
             least, new = min(options)

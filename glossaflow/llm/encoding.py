@@ -413,3 +413,8 @@ def repaired(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
             yield pd.concat([b[keys].reset_index(drop=True), _apply(b["__text"])], axis=1)
 
     return df.where(F.col(text).isNotNull() & candidates(F.col(text))).select(*keys, F.col(text).alias("__text")).mapInPandas(run, f"{names}, text string, garbled boolean, lossy boolean")
+
+
+def masked(text: str) -> str:
+    """``text`` without what is left of garbling: C1 controls, and blanks and soft hyphens beside leftover signs."""
+    return re.sub("[\x80-\x9f]|(?<=[ÃÂâРСÐÑ])[\xa0\xad]|(?<=[^\x00-\x7f])[\xa0\xad](?=[^\x00-\x7f])", "", text)

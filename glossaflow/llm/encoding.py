@@ -29,6 +29,8 @@ SOUND = [
 MAX_LAYERS = 6
 
 _sound = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SOUND) + "\x00-\x7f]*")
+#: Cyrillic letters that stand for Latin ones in look-alike text.
+_TWINS = "аеорсухіјѕһАВЕКМНОРСТХУІЈЅ"
 _no_controls = dict.fromkeys(range(0x80, 0xA0))
 _cyrillic = re.compile("[Ѐ-ӿ]")
 _latin = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
@@ -103,6 +105,8 @@ def _sound_run(run: str, new: str, before: str, after: str, encoding: str) -> bo
         return False
     if encoding in ("cp866", "koi8_r") and not re.search(f"[{_boxes}]", run):
         return False
+    if encoding == "cp1251" and (_latin.match(before) or _latin.match(after)) and not set(run) - set(_TWINS):
+        return False
     if encoding == "cp1251" and (_cyrillic.match(before) or (len(new) == 1 and _cyrillic.match(after))):
         return False
     if any("̀" <= c <= "ͯ" for c in new) and (encoding == "mac_roman" or not before.isalpha()):

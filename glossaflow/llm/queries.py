@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaflow.llm import encoding, lookalikes, termfreq
+from glossaflow.llm import encoding, lookalikes, sentences, termfreq
 from glossaflow.session import read, spread
 
 
@@ -41,6 +41,16 @@ def p3_ngrams(spark, sf_dir):
     return termfreq.gram_counts(termfreq.annotation_values(read(spark, sf_dir, "annotations")), max_n=4)
 
 
+def p4_sentences(spark, sf_dir):
+    """Sentence units of all passages: split, or as given where the text is null."""
+    passages = read(spark, sf_dir, "passages")
+    return sentences.sentences(passages).unionByName(sentences.given_sentences(passages))
+
+
+def p4_found(spark, sf_dir):
+    return sentences.sentences(read(spark, sf_dir, "passages")).select("passage_id", "char_offset")
+
+
 def p6_consistent(spark, sf_dir):
     """Each text that is not in its consistent form, and that form."""
     return lookalikes.consistent(spread(_texts(spark, sf_dir, ["passages", "annotations"])))
@@ -50,7 +60,7 @@ def p6_found(spark, sf_dir):
     return p6_consistent(spark, sf_dir).where("found").select("table_name", "row_key")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
 
 _P3 = """
 WITH once AS (SELECT anno_key, min(text) AS term, arg_min(article_id, text) AS article_id FROM annotations WHERE text IS NOT NULL GROUP BY anno_key),

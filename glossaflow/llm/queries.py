@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glossaflow.llm import encoding, lookalikes, sentences, termfreq
+from glossaflow.llm import encoding, lookalikes, residue, sentences, termfreq
 from glossaflow.session import read, spread
 
 
@@ -60,7 +60,20 @@ def p6_found(spark, sf_dir):
     return p6_consistent(spark, sf_dir).where("found").select("table_name", "row_key")
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
+def p9_evidence(spark, sf_dir):
+    return residue.residue(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def p9_found(spark, sf_dir):
+    return p9_evidence(spark, sf_dir).select("doc_id")
+
+
+def p9_clean(spark, sf_dir):
+    """The documents that remain."""
+    return residue.without_residue(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_clean": p9_clean, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
 
 _P3 = """
 WITH once AS (SELECT anno_key, min(text) AS term, arg_min(article_id, text) AS article_id FROM annotations WHERE text IS NOT NULL GROUP BY anno_key),

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import cache
+
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,38 +69,65 @@ KEYS = (
     "script,cookie,скрипт,脚本,スクリプト,जावा,สคริปต์,skripte,error,fehler,erreur,ошибк,erro ,错误,エラー,not found,gefunden,existiert nicht,introuvable,existe,encontrad,se encuentra,disponible,disponív,не найден,не существует,不存在,未找到,已被删除,无法,找不到,見つかり,存在しません,表示できません,नहीं,หน้า,"
     "denied,forbidden,authori,unavailable,verfügbar,erreichbar,verweigert,gateway,timed out,timeout,time-out,requests,try again,expired,sign in,signin,log in,login,melden sie,loggen sie,withdrawn,deleted,offline,no longer,matches this,unable to,could not,couldn,cannot,can't,can’t,asked for,looking for,requested,access,acces,accès,acesso,доступ,войдите,访问,登录,ログイン,アクセス,subscri,"
     "went wrong,oops,fatal,undefined,not set,null,traceback,stack trace,slow down,bad request,server,serveur,servi,сервер,服务,サーバ,gone,http,status,sorry,session,inicie,indispon,недоступ,произошла,ご利用,利用,maintenance,checking your,lorem,dolor,xxx,tbd,tba,todo,fixme,asdf,blah,n/a,goes here, here,replace this,placeholder,do not publish,sample text,dummy text,filler text,coming soon,"
-    "folgt,platzhalter,blindtext,beispieltext,einfügen,eingeben,eintragen,texte à,insérez,saisissez,collez,résumé à,aquí va,inserte,escriba,introduzca,pegue,texto de,insira,escreva,digite,cole aqui,aqui vai,será inserido,вставьте,здесь будет,место для,заполнитель,введите,此处,在此,请填写,请输入,示例文本,占位,ここに,サンプル,ダミー,लिखें,डालें,दर्ज,जोड़ें,ที่นี่,{,<,&lt;,@@,__,[,«,.php"
+    "folgt,platzhalter,blindtext,beispieltext,einfügen,eingeben,eintragen,texte à,insérez,saisissez,collez,résumé à,aquí va,inserte,escriba,introduzca,pegue,texto de,insira,escreva,digite,cole aqui,aqui vai,será inserido,вставьте,здесь будет,место для,заполнитель,введите,此处,在此,请填写,请输入,示例文本,占位,ここに,サンプル,ダミー,लिखें,डालें,दर्ज,जोड़ें,ที่นี่,.php"
 ).split(",")
-EVIDENCE = "(?iu)(?:" + "|".join([*FIELDS, *FILLER, *ERRORS, *SCRIPTS]) + ")"
-_SIGNED = r"(?i)%[a-z][a-z0-9_.]*%|\$[a-z][\w.]*\$"
-
-
-def possible(text: Column) -> Column:
-    """Whether a text can hold evidence: cheap searches for what every pattern needs."""
-    small = F.lower(text)
-    out = text.rlike(_SIGNED)
-    for k in KEYS:
-        out = out | F.contains(small, F.lit(k))
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: How any field begins or what it holds.
+SIGNS = ["{%", "{{", "{ ", "<%", "&lt;", "@@", "[[", "__", "to be added", "to be completed", "[insert", "<insert", "(insert", "{insert", " here]", "tbd]", "tba]", "placeholder", *[s + c for s in "{<%$«[(" for c in _LETTERS]]
+_FIELD = re.compile("|".join(FIELDS), re.I)
+_MESSAGE = re.compile("|".join([*FILLER, *ERRORS, *SCRIPTS]), re.I)
+#: No pattern reaches further than this from its key.
+REACH = 160
+
+
+@cache
+def _automaton() -> ahocorasick.Automaton:
+    found = ahocorasick.Automaton()
+    for kind, keys in ((1, KEYS), (2, SIGNS)):
+        for k in keys:
+            found.add_word(k, found.get(k, 0) | kind)
+    found.make_automaton()
+    return found
+
+
+def pieces(text: str) -> list[tuple[int, str]]:
+    """(place, piece) of the evidence in a text: patterns are tried only around what all of them need, so a text is read once."""
+    small = text.lower()
+    if len(small) != len(text):
+        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    spans: dict[int, list[list[int]]] = {1: [], 2: []}
+    for end, kinds in _automaton().iter(small):
+        for kind in (1, 2):
+            if kinds & kind:
+                if spans[kind] and spans[kind][-1][1] >= end - REACH:
+                    spans[kind][-1][1] = end + REACH
+                else:
+                    spans[kind].append([max(0, end - REACH), end + REACH])
+    out = []
+    for kind, pattern in ((1, _MESSAGE), (2, _FIELD)):
+        for a, b in spans[kind]:
+            out += [(m.start() + len(m.group()) - len(m.group().lstrip()), m.group().strip()) for m in pattern.finditer(small, a, min(len(small), b))]
     return out
 
 
-def normal_line(line: Column) -> Column:
-    """A line in small letters, its digits as 0 and everything between words as one blank."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), r"\p{Nd}+", "0"), r"[^\p{L}\p{M}0]+", " "))
+def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = [
+            (doc, host, hit, text[text.rfind("\n", 0, place) + 1 : (text.find("\n", place) + 1 or len(text) + 1) - 1])
+            for doc, host, text in zip(b["doc_id"], b["host"], b["text"])
+            for place, hit in pieces(text)
+        ]
+        yield pd.DataFrame(rows, columns=["doc_id", "host", "evidence", "line"])
 
 
-def lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, host, at, line, key) of all lines of all texts; a null source is host ''."""
-    return (
-        documents.where(F.col("text").isNotNull())
-        .select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-        .withColumn("key", F.xxhash64(normal_line(F.col("line"))))
-    )
+def line_key(line: Column) -> Column:
+    """The key of a normalised line: small letters, digits as 0, no blanks around."""
+    return F.xxhash64(F.translate(F.lower(F.trim(line)), "123456789", "000000000"))
 
 
 def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """(host, key): normalised lines that recur in at least ``share`` of the documents of a host, and in ``least``."""
-    keys = F.array_distinct(F.transform(F.split("text", "\n"), lambda x: F.xxhash64(normal_line(x))))
+    keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
     texts = documents.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("host"), keys.alias("keys"))
     sizes = texts.groupBy("host").agg(F.count("*").alias("size")).withColumnRenamed("host", "h")
     counts = texts.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -104,18 +137,12 @@ def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST)
 def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, evidence): the documents whose residual has evidence of a template, filler, an error page or a barred page, with its first piece.
 
-    Null and empty texts have none. Repeated rows give one row. The residual is the text without the lines that recur
-    on its host; evidence may cross lines.
+    The residual is the text without the lines that recur on its host (its source; null is a host of its own), so
+    evidence in such a line doesn't count. Null and empty texts have none; repeated rows give one row.
     """
-    suspects = documents.where(possible(F.col("text")))
-    left = (
-        lines(suspects)
-        .join(boilerplate(documents), ["host", "key"], "left_anti")
-        .groupBy("doc_id", "host")
-        .agg(F.array_sort(F.collect_set(F.struct("at", "line"))).alias("rest"))
-        .select("doc_id", F.array_join(F.transform("rest", lambda x: x["line"]), "\n").alias("rest"))
-    )
-    return left.where(F.col("rest").rlike(EVIDENCE)).groupBy("doc_id").agg(F.min(F.regexp_extract("rest", EVIDENCE, 0)).alias("evidence"))
+    texts = documents.where(F.length("text") > 2).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
+    found = texts.mapInPandas(_search, "doc_id bigint, host string, evidence string, line string").withColumn("key", line_key(F.col("line")))
+    return found.join(boilerplate(documents), ["host", "key"], "left_anti").groupBy("doc_id").agg(F.min("evidence").alias("evidence"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

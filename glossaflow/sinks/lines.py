@@ -124,13 +124,13 @@ def pubtator(content: Content, fbk: bool = False) -> DataFrame:
     Newlines within sections become blanks and final blanks go, which shifts what follows; offsets count from the first
     sentence.
     """
-    flat = F.concat(F.rtrim(F.translate("text", "\r\n", "  ")), F.lit("\n"))
+    flat = F.rtrim(F.translate("text", "\r\n", "  "))
     by_doc = Window.partitionBy("doc_id").orderBy("sec_id")
-    secs = content.sections.withColumn("flat", flat).withColumn("delta", F.length("flat") - F.length("text"))
+    secs = content.sections.withColumn("flat", flat).withColumn("delta", F.length("flat") + 1 - F.length("text"))
     secs = secs.withColumn("shift", F.coalesce(F.sum("delta").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - F.first("start").over(by_doc.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
     kind = F.when(F.coalesce("type", F.lit("")) == "", "x").otherwise(F.lower(F.substring("type", 1, 1)))
     none = F.lit(None).cast("int")
-    texts = secs.select("doc_id", F.lit(0).alias("part"), "sec_id", none.alias("start"), none.alias("end"), F.lit("").alias("id"), F.concat_ws("|", "doc_id", kind, F.rtrim("flat")).alias("line"))
+    texts = secs.select("doc_id", F.lit(0).alias("part"), "sec_id", none.alias("start"), none.alias("end"), F.lit("").alias("id"), F.concat_ws("|", "doc_id", kind, "flat").alias("line"))
     e = content.entities.join(secs.select("doc_id", "sec_id", "shift"), ["doc_id", "sec_id"]).withColumn("start", (F.col("start") + F.col("shift")).cast("int")).withColumn("end", (F.col("end") + F.col("shift")).cast("int"))
     surface, cid = T.one_line(F.col("text")), F.coalesce("native_id", F.lit(""))
     mark = F.when(F.col("id").rlike("^[0-9]+$"), F.concat(F.lit("T"), F.col("id"))).otherwise(F.col("id"))

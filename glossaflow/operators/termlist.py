@@ -25,8 +25,9 @@ def fields_of_line(line: Column) -> Column:
 def from_fields(fields: DataFrame, layout: str = "bth", extra: list[str] | None = None) -> DataFrame:
     """(term, info fields, extra fields) of rows with an array ``fields`` in one of the LAYOUTS. Rows with another number of fields raise."""
     names = [*LAYOUTS[layout], *(extra or [])]
-    fits = F.when(F.size("fields") == len(names), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(f"expected {len(names)} fields, found "), F.size("fields").cast("string"))).cast("boolean"))
-    out = fields.where(fits).select(*[F.col("fields")[i].alias(n) for i, n in enumerate(names)])
+    wrong = F.raise_error(F.concat(F.lit(f"expected {len(names)} fields, found "), F.size("fields").cast("string"))).cast("array<string>")
+    checked = fields.select(F.when(F.size("fields") == len(names), F.col("fields")).otherwise(wrong).alias("fields"))
+    out = checked.select(*[F.col("fields")[i].alias(n) for i, n in enumerate(names)])
     if layout == "4":
         out = out.withColumn("original_resource", F.lit(UNKNOWN)).withColumn("umls_cui", F.lit("none"))
     return out.select("term", *INFO, *(extra or []))

@@ -146,6 +146,10 @@ def _utf8_so_far(raw: bytes) -> bool:
 def _from_wide(text: str, meant: str) -> str:
     """Runs of two-byte characters read as Western. One that can't be anything else must be there; then all that decode to sound characters count."""
     strong = False
+    if meant == "cp932":
+        high = sum(c > "\x7f" and c in _to_byte("cp1252") for c in text)
+        if high - sum(c > "\x7f" and c in _to_byte("cp1252") for c in _utf8_runs("cp1252").sub("", text)) > 0.5 * high:
+            return text  # most of it is UTF-8
 
     def restore(m: re.Match, weak: bool) -> str:
         nonlocal strong
@@ -156,9 +160,6 @@ def _from_wide(text: str, meant: str) -> str:
                 raw = _bytes(part, "cp1252")
                 if meant != "cp932" and len(raw) >= 4 and min(raw) >= 0x80 and _utf8_so_far(raw):
                     return run
-                high = sum(b >= 0x80 for b in raw)
-                if meant == "cp932" and sum(c > "\x7f" for c in _from_utf8(part, "cp1252")) < 0.55 * high:
-                    return run
                 new = raw.decode(meant)
             except (UnicodeDecodeError, KeyError):
                 continue
@@ -166,7 +167,7 @@ def _from_wide(text: str, meant: str) -> str:
                 continue
             kana, hanzi = len(_kana.findall(new)), len(_hanzi.findall(new))
             if meant == "gb18030":
-                good = hanzi >= 2 and sum(b >= 0x80 for b in raw) >= 1.7 * len(new) and kana <= 0.3 * len(new)
+                good = len(set(_hanzi.findall(new))) >= min(hanzi, 3) and hanzi >= 2 and sum(b >= 0x80 for b in raw) >= 1.7 * len(new) and kana <= 0.3 * len(new)
             elif meant == "cp932":
                 good = kana >= 1 and kana + hanzi >= 3 or hanzi >= 3 and any("\x80" <= c <= "\x9f" for c in run)
             else:
@@ -383,7 +384,7 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
                 now = new
         if now == was:
             now = _cyrillic_swap(now)
-        if now == text:
+        if now == text and not _cut_utf8.search(now):
             now = _word_swap(now, SWAPPED)
         if now == was:
             break
@@ -391,6 +392,8 @@ def repair(text: str | None) -> tuple[str | None, bool, bool]:
     return now, now != text or rest, rest
 
 
+#: What is left of UTF-8 in a Western encoding where bytes are lost.
+_cut_utf8 = re.compile("â€|[ÃÂ](?=[°±²³·»«¿¡§©®?])|(?<=[a-zß-öø-ÿ])[ÃÂ](?![A-ZÀ-ÖØ-Þ])|â(?=[⁰-⁹º¹²³¶µ™])")
 _leftover = re.compile(f"[\x80-\x9f�{_boxes}]|â€|(?<=[a-zß-öø-ÿ])[ÃÂ](?![A-ZÀ-ÖØ-Þ])|[ÃÂ](?=[°±²³·»«¿¡§©®—–¼½¾])|â(?=[⁰-⁹º¹²³¶µ€™œ]|[ -⃿])|Ã(?=[\\s?.,;)]|$)|Î(?=[±-¿])|ƒ|√(?=[A-Za-zÀ-ÿ©®±])")
 
 

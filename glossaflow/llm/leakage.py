@@ -167,9 +167,11 @@ def leak_length(item: list[str], part: list[str]) -> int:
     length = np.concatenate(([0], np.cumsum([s[0] for s in steps])))
     edits = np.concatenate(([0], np.cumsum([s[1] for s in steps])))
     score = length - EDIT_RATE * edits
+    same = np.array([s == (1, 0) for s in steps])
     best = 0
-    for x in range(len(steps)):
-        good = np.nonzero(score[x + 1 :] >= score[x])[0]
+    for x in np.nonzero(same)[0]:
+        # a stretch begins and ends with a word that is held
+        good = np.nonzero(same[x:] & (score[x + 1 :] >= score[x]))[0]
         if len(good):
             best = max(best, int(length[x + 1 + good[-1]] - length[x]))
     return best if best >= WORDS else 0

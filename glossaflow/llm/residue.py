@@ -23,7 +23,7 @@ _JS = r"(?:java ?script|scripts?|scripting|cookies)"
 #: Fixed values. Unfilled fields by their signs. Names have at least two letters, so that sets, concentrations and prices are none.
 FIELDS = [
     r"\{\{\s*[a-z][\w. -]*\}\}", r"\{%\s*[a-z][\w. -]*%\}", r"[#$]?\{\s*[a-z][\w.]*[a-z0-9]\s*\}", r"<%=?\s*[a-z][\w. -]*%>", r"@@[a-z][\w.]*@@", r"%[a-z][a-z0-9_.]*[a-z0-9]%", r"\$[a-z][\w.]*[a-z0-9]\$",
-    r"\[\[\s*[a-z][\w. -]*\]\]", r"«[a-z][a-z0-9_.]*[a-z0-9]»", r"(?<!\w)__[a-z][a-z0-9_.]*?__(?!\w)", r"(?:<|&lt;)your [a-z][\w. -]*(?:>|&gt;)",
+    r"\[\[\s*[a-z][\w. -]*\]\]", r"«[a-z][a-z0-9_.]*[a-z0-9]»", r"(?<![a-z0-9_])__[a-z][a-z0-9_.]*?__(?![a-z0-9_])", r"(?:<|&lt;)your [a-z][\w. -]*(?:>|&gt;)",
     r"(?:<|&lt;)(?!(?:sub|sup|em|strong|br|hr|li|ul|ol|td|tr|th|div|span|table|body|html|head|img|font|italic|bold)\b)[a-z][a-z0-9_.]+(?:>|&gt;)",
     r"[\[<{(]\s*(?:insert|enter|add|your|type|fill in)\b[^\[\]<>{}()]{1,40}[\]>})]", r"\[[^\[\]]{1,40}\b(?:to be added|to be completed|goes here|here|tbd|tba|placeholder)\b[^\[\]]{0,30}\]",
 ]
@@ -74,8 +74,9 @@ KEYS = (
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: How any field begins or what it holds.
 SIGNS = ["{%", "{{", "{ ", "<%", "&lt;", "@@", "[[", "__", "to be added", "to be completed", "[insert", "<insert", "(insert", "{insert", " here]", "tbd]", "tba]", "placeholder", *[s + c for s in "{<%$«[(" for c in _LETTERS]]
-_FIELD = re.compile("|".join(FIELDS), re.I)
-_MESSAGE = re.compile("|".join([*FILLER, *ERRORS, *SCRIPTS]), re.I)
+#: Word borders are those of ASCII words, as text of other scripts may adjoin.
+_FIELD = re.compile("|".join(FIELDS), re.A)
+_MESSAGE = re.compile("|".join([*FILLER, *ERRORS, *SCRIPTS]), re.A)
 #: No pattern reaches further than this from its key.
 REACH = 160
 

@@ -51,12 +51,11 @@ def from_texts(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", sin
 
 def annotate(content: Content, index: DataFrame, normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN, keep: bool = True) -> Content:
     """``content`` with the entities of a dictionary added to those it has; ids go on from the greatest numeric one."""
-    keys = ["doc_id", "sec_id", "sent_id"]
-    found = recognize.recognise(content.sentences, index, keys, start="start", normalisers=normalisers, stopwords=stopwords, pattern=pattern)
-    placed = found.join(content.sentences.select(*keys, "sent_no", F.col("type").alias("section_type")), keys)
+    keys = ["doc_id", "sec_id", "sent_id", "sent_no", "section_type"]
+    placed = recognize.recognise(content.sentences.withColumnRenamed("type", "section_type"), index, keys, start="start", normalisers=normalisers, stopwords=stopwords, pattern=pattern)
     old = content.entities if keep else None
     named = recognize.with_ids(placed, ["doc_id"], ["sent_no", "start", "end", "recognizer", *INFO], old)
-    columns = [*keys, "sent_no", "section_type", "id", "text", "start", "end", *INFO]
+    columns = [*keys, "id", "text", "start", "end", *INFO]
     new = named.select(*columns)
     return content.with_entities(new if old is None else old.select(*columns).unionByName(new))
 

@@ -26,9 +26,9 @@ def checked(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def token_spans(texts: DataFrame, text: str = "text", start: str | None = None, pattern: str = T.TOKEN) -> DataFrame:
-    """``texts`` with a column tokens, array of (token, start, end): tokens with code-point offsets, counted from ``start`` of the row if given.
+    """``texts`` with a column tokens, array of (token, gap, start, end): tokens with what lies before the next one, and code-point offsets, counted from ``start`` of the row if given.
 
-    No shuffle: each text is cut where it lies, an Arrow batch at a time. Null texts have null tokens.
+    No shuffle: each text is cut where it lies, an Arrow batch at a time. Null and empty texts have no tokens.
     """
     regex = _PYTHON.get(pattern, pattern)
     keys = [f for f in texts.schema.fields]
@@ -38,51 +38,55 @@ def token_spans(texts: DataFrame, text: str = "text", start: str | None = None,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = re.compile(regex).finditer
         for b in batches:
-            bounds, toks, starts, ends = [0], [], [], []
+            bounds, toks, gaps, starts, ends = [0], [], [], [], []
             shifts = b.column(offset).to_pylist() if offset is not None else None
             for i, t in enumerate(b.column(at).to_pylist()):
                 if t:
                     shift = (shifts[i] or 0) if shifts else 0
+                    last = None
                     for m in find(t):
+                        if last is not None:
+                            gaps.append(t[last : m.start()])
+                        last = m.end()
                         toks.append(m.group())
                         starts.append(m.start() + shift)
-                        ends.append(m.end() + shift)
+                        ends.append(last + shift)
+                    if last is not None:
+                        gaps.append("")
                 bounds.append(len(toks))
-            rows = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "start", "end"])
+            rows = pa.StructArray.from_arrays([pa.array(toks, pa.string()), pa.array(gaps, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], ["token", "gap", "start", "end"])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), rows)], names=[*b.schema.names, "tokens"])
 
-    return texts.mapInArrow(cut, f"{names}, tokens array<struct<token:string,start:int,end:int>>")
+    return texts.mapInArrow(cut, f"{names}, tokens array<struct<token:string,gap:string,start:int,end:int>>")
 
 
 def match(tokenised: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase", stopwords: list[str] = ()) -> DataFrame:
-    """(keys, start, end, n_toks, recognizer, info fields): every match of the ``index`` in the rows of ``tokenised`` (keys, tokens).
+    """(keys, start, end, text, n_toks, recognizer, info fields): every match of the ``index`` in the rows of ``tokenised`` (keys, tokens).
 
-    Matches may overlap and nest, and never leave a row. Each position is first looked up by its first token, and only
-    the lengths of terms that begin so make n-grams. An n-gram that is a stopword is compared exactly.
+    Matches may overlap and nest, and never leave a row. A position carries no more tokens than the longest term has;
+    it is first looked up by its first token, and only the lengths of terms that begin so make n-grams. An n-gram that is
+    a stopword is compared exactly. The surface is put together from tokens and gaps, so texts are not joined again, and
+    with a dictionary that is broadcast nothing is shuffled.
     """
-    spots = tokenised.select(*keys, "tokens", F.transform("tokens", lambda t: T.normalise(t["token"], normalisers)).alias("norms")).select(*keys, "tokens", "norms", F.posexplode("norms").alias("i", "first"))
-    begun = spots.join(checked(first_index(index)), "first")
-    grams = begun.select(*keys, "tokens", "norms", "i", F.explode("lengths").alias("n")).where("i + n <= size(tokens)")
-    norm = F.array_join(F.slice("norms", F.col("i") + 1, F.col("n")), T.GAP)
-    exact = F.array_join(F.transform(F.slice("tokens", F.col("i") + 1, F.col("n")), lambda t: t["token"]), T.GAP)
-    key = F.when(norm.isin(list(stopwords)), exact).otherwise(norm) if stopwords else norm
-    found = grams.select(*keys, F.col("tokens")[F.col("i")]["start"].alias("start"), F.col("tokens")[F.col("i") + F.col("n") - 1]["end"].alias("end"), key.alias("key"))
+    longest = index.agg(F.max("n_toks")).first()[0] or 1
+    spots = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.slice("tokens", i, longest))
+    rows = tokenised.where(F.size("tokens") > 0).select(*keys, F.explode(spots).alias("spot"))
+    normed = rows.withColumn("norms", F.transform("spot", lambda t: T.normalise(t["token"], normalisers))).withColumn("first", F.col("norms")[0])
+    grams = normed.join(checked(first_index(index)), "first").select(*keys, "spot", "norms", F.explode("lengths").alias("n")).where("n <= size(spot)")
+    part = F.slice("spot", F.lit(1), F.col("n"))
+    norm = F.array_join(F.slice("norms", F.lit(1), F.col("n")), T.GAP)
+    key = F.when(norm.isin(list(stopwords)), F.array_join(F.transform(part, lambda t: t["token"]), T.GAP)).otherwise(norm) if stopwords else norm
+    last = F.col("spot")[F.col("n") - 1]
+    surface = F.concat(F.array_join(F.transform(F.slice("spot", F.lit(1), F.col("n") - 1), lambda t: F.concat(t["token"], t["gap"])), ""), last["token"])
+    found = grams.select(*keys, F.col("spot")[0]["start"].alias("start"), last["end"].alias("end"), surface.alias("text"), key.alias("key"))
     return found.join(checked(index), "key").drop("key", "first")
 
 
-def with_surface(found: DataFrame, texts: DataFrame, keys: list[str], text: str = "text", start: str | None = None) -> DataFrame:
-    """``found`` with the text of each match."""
-    shift = F.col("__start") if start else F.lit(0)
-    whole = texts.select(*keys, F.col(text).alias("__text"), *([F.col(start).alias("__start")] if start else []))
-    return found.join(whole, keys).withColumn("text", F.substring("__text", F.col("start") - shift + 1, F.col("end") - F.col("start"))).drop("__text", "__start")
-
-
 def recognise(texts: DataFrame, index: DataFrame, keys: list[str], text: str = "text", start: str | None = None, normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN) -> DataFrame:
     """(keys, start, end, text, recognizer, info fields): all entities of the rows of ``texts``. Rows without text have none."""
-    plain = texts.select(*keys, F.col(text).alias("text"), *([F.col(start).alias("__start")] if start else []))
-    tokenised = token_spans(plain, "text", "__start" if start else None, pattern)
-    kept = tokenised.drop("text", "__start") if start else tokenised.drop("text")
-    return with_surface(match(kept, index, keys, normalisers, stopwords), plain, keys, "text", "__start" if start else None).drop("n_toks")
+    plain = texts.select(*keys, F.col(text).alias("__text"), *([F.col(start).alias("__start")] if start else []))
+    tokenised = token_spans(plain, "__text", "__start" if start else None, pattern)
+    return match(tokenised, index, keys, normalisers, stopwords).drop("n_toks")
 
 
 def entity_order(extra: list[str] = ()) -> list[str]:

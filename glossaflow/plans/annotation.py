@@ -373,9 +373,8 @@ _FP_SQL = rf"(regexp_matches(text, '^(?:{_FP_WORDS})[^\p{{L}}\p{{N}}_]+\p{{Nd}}+
 def post_frequent_fp(spark, sf_dir):
     """The filter on the surfaces of all token pairs, as names seldom are such."""
     t = recognize.token_spans(spread(docs(spark, sf_dir)))
-    pairs = t.select("text", F.explode(F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("b"))).alias("p")).where("p.b is not null")
-    surface = F.substring("text", F.col("p.a.start") + 1, F.col("p.b.end") - F.col("p.a.start"))
-    return pairs.select(surface.alias("text")).where(postfilters.is_frequent_false(F.col("text"))).groupBy("text").agg(F.count("*").alias("n"))
+    pairs = t.select(F.explode(F.arrays_zip(F.col("tokens").alias("a"), F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))).alias("b"))).alias("p")).where("p.b is not null")
+    return pairs.select(F.concat("p.a.token", "p.a.gap", "p.b.token").alias("text")).where(postfilters.is_frequent_false(F.col("text"))).groupBy("text").agg(F.count("*").alias("n"))
 
 
 @query(f"{_ENTITIES} SELECT doc_id, id, text FROM ents WHERE length(text) >= 6")

@@ -93,12 +93,23 @@ def conll(content: Content, tagset: str = "IOBES", pattern: str = T.WORD_PUNCT)
     """(doc_id, sec_id, sent_id, sent_no, tok_id, token, start, end, tag): each token with the tag of the concepts that overlap it.
 
     Concepts of a token are joined by semicolons in order of place. Neighbours with the same label belong together.
-    Entities meet tokens by place: an entity is spread over the tokens of its sentence by a range join within it.
+    Entities find the first and last of their tokens by counting tokens in two sorted passes over their sentence, so that
+    only tokens within entities are paired with them.
     """
     tokens = word_tokens(content, pattern)
-    e = content.entities.select(*_SENT, F.col("start").alias("s"), F.col("end").alias("f"), F.struct("start", "end", F.col("id").cast("bigint"), "id", F.coalesce("native_id", F.lit("")).alias("cid")).alias("e"))
-    over = tokens.join(e, _SENT).where(F.greatest("start", "s") < F.least("end", "f"))
-    labels = over.groupBy(*_SENT, "tok_id").agg(F.array_sort(F.collect_list("e")).alias("es")).select(*_SENT, "tok_id", F.array_join(F.transform("es", lambda x: x["cid"]), ";").alias("label"))
+    e = content.entities.select(*_SENT, "start", "end", F.struct("start", "end", F.col("id").cast("bigint"), "id", F.coalesce("native_id", F.lit("")).alias("cid")).alias("e"))
+    so_far = Window.partitionBy(*_SENT).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+
+    def counted(entities: DataFrame, place: str, border: str, kind: int, name: str) -> DataFrame:
+        """``entities`` with the number of tokens whose ``border`` lies before their ``place``, or at it if ``kind`` is 1."""
+        spots = tokens.select(*_SENT, F.col(border).alias("at"), F.lit(1 - kind).alias("kind"), F.lit(1).alias("one"))
+        own = entities.select("*", F.col(place).alias("at"), F.lit(kind).alias("kind"), F.lit(0).alias("one"))
+        both = own.unionByName(spots, allowMissingColumns=True).withColumn(name, F.sum("one").over(so_far))
+        return both.where(F.col("e").isNotNull()).drop("at", "kind", "one")
+
+    ranged = counted(counted(e, "start", "end", 1, "i"), "end", "start", 0, "j").where("i < j")
+    over = ranged.select(*_SENT, F.explode(F.sequence("i", F.col("j") - 1)).alias("tok_id"), "e")
+    labels = over.groupBy(*_SENT, F.col("tok_id").cast("int").alias("tok_id")).agg(F.array_sort(F.collect_list("e")).alias("es")).select(*_SENT, "tok_id", F.array_join(F.transform("es", lambda x: x["cid"]), ";").alias("label"))
     order = Window.partitionBy(*_SENT).orderBy("tok_id")
     tagged = tokens.join(labels, [*_SENT, "tok_id"], "left").withColumn("label", F.coalesce("label", F.lit("")))
     tagged = tagged.withColumn("before", F.lag("label", 1, "").over(order)).withColumn("after", F.lead("label", 1, "").over(order))

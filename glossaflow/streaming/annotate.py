@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
 from glossaflow.operators import recognize
@@ -17,13 +16,9 @@ def text_stream(spark: SparkSession, path: str, schema: str = "doc_id string, te
 
 
 def recognise_stream(texts: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN) -> DataFrame:
-    """The entities of a stream of texts (keys, text), as a stream: stateless, joined with a static dictionary.
-
-    The text of a match is taken from its row before the row is left, so no stream is joined with itself.
-    """
+    """The entities of a stream of texts (keys, text), as a stream: stateless, joined with a static dictionary only."""
     tokenised = recognize.token_spans(texts.select(*keys, "text"), pattern=pattern)
-    found = recognize.match(tokenised, index, [*keys, "text"], normalisers, stopwords)
-    return found.withColumn("text", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start"))).drop("n_toks")
+    return recognize.match(tokenised, index, keys, normalisers, stopwords).drop("n_toks")
 
 
 def start(entities: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.llm import encoding
+from glossaflow.session import checkpointed
 
 #: Fixed values. Letters of Cyrillic and Greek that look like a Latin letter, in the same order.
 CYRILLIC = dict(zip("аеорсухіјѕһԁԛԝӏАВЕКМНОРСТХУІЈЅԌԚԜҮҺ", "aeopcyxijshdqwlABEKMHOPCTXYIJSGQWYh", strict=True))
@@ -123,7 +124,8 @@ def vocabulary(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     words = F.regexp_extract_all(F.col("text"), F.lit(r"([a-zA-Z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2AF}\x{370}-\x{3FF}\x{400}-\x{52F}0-9]+)"), 1)
     counted = (
         texts.where("text is not null")
-        .select(F.explode(words).alias("w"), F.col("text").rlike("[бвгджзилнптфцчшщэюя]{2}").cast("long").alias("native"))
+        .select(words.alias("words"), F.col("text").rlike("[бвгджзилнптфцчшщэюя]{2}").cast("long").alias("native"))
+        .select(F.explode("words").alias("w"), "native")  # apart, else the text is searched again for each of its words
         .groupBy(F.lower("w").alias("word"))
         .agg(F.count("*").alias("n"), F.sum("native").alias("native"), F.sum(F.col("w").rlike("[α-ω&&[^ο]]").cast("long")).alias("small_greek"))
     )
@@ -143,7 +145,7 @@ def confirmed(texts: DataFrame, scan: DataFrame) -> DataFrame:
     asked = tokens.where("kind in ('greek', 'whole')")
     forms = asked.select("token", "form", "kind").distinct()
     wanted = forms.select(F.lower("form").alias("word")).unionByName(forms.select(F.lower("token").alias("word")))
-    words = vocabulary(texts, wanted)
+    words = checkpointed(vocabulary(texts, wanted))
     good = (
         forms.join(words.select(F.col("word").alias("w1"), F.col("n").alias("n_form")), F.lower("form") == F.col("w1"), "left")
         .join(words.select(F.col("word").alias("w2"), F.col("n").alias("n_token"), F.col("native").alias("n_native"), F.col("small_greek")), F.lower("token") == F.col("w2"), "left")
@@ -160,9 +162,10 @@ def consistent(texts: DataFrame) -> DataFrame:
     """(table_name, row_key, form, found) of the rows of ``texts`` whose text is not in its consistent form, or was garbled.
 
     ``found`` tells whether the text holds a character of the kinds that are to be unified. Null and empty texts and
-    texts already in form give no row; repeated rows of one key give one.
+    texts already in form give no row; repeated rows of one key give one. What the scan of all texts leaves, and the few
+    words that the vocabulary is asked for, are checkpointed, so that each is computed once.
     """
-    scan = scanned(texts).groupBy("table_name", "row_key").agg(F.min(F.struct("form", "deviates", "tokens")).alias("x")).select("table_name", "row_key", "x.*")
+    scan = checkpointed(scanned(texts).groupBy("table_name", "row_key").agg(F.min(F.struct("form", "deviates", "tokens")).alias("x")).select("table_name", "row_key", "x.*"))
     swaps = confirmed(texts, scan).groupBy("table_name", "row_key").agg(F.collect_set(F.struct("token", "form")).alias("swaps"))
     joined = scan.join(swaps.withColumnsRenamed({"table_name": "t2", "row_key": "k2"}), (F.col("table_name") == F.col("t2")) & (F.col("row_key") == F.col("k2")), "left")
     return joined.select("table_name", "row_key", F.when(F.col("swaps").isNull(), F.col("form")).otherwise(_swap(F.col("form"), F.col("swaps"))).alias("form"), (F.col("deviates") | F.col("swaps").isNotNull()).alias("found"))

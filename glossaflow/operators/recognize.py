@@ -71,8 +71,9 @@ def match(tokenised: DataFrame, index: DataFrame, keys: list[str], normalisers:
     longest = index.agg(F.max("n_toks")).first()[0] or 1
     spots = F.transform(F.sequence(F.lit(1), F.size("tokens")), lambda i: F.slice("tokens", i, longest))
     rows = tokenised.where(F.size("tokens") > 0).select(*keys, F.explode(spots).alias("spot"))
-    normed = rows.withColumn("norms", F.transform("spot", lambda t: T.normalise(t["token"], normalisers))).withColumn("first", F.col("norms")[0])
-    grams = normed.join(checked(first_index(index)), "first").select(*keys, "spot", "norms", F.explode("lengths").alias("n")).where("n <= size(spot)")
+    begun = rows.withColumn("first", T.normalise(F.col("spot")[0]["token"], normalisers)).join(checked(first_index(index)), "first")
+    normed = begun.select(*keys, "spot", F.transform("spot", lambda t: T.normalise(t["token"], normalisers)).alias("norms"), "lengths")
+    grams = normed.select(*keys, "spot", "norms", F.explode("lengths").alias("n")).where("n <= size(spot)")
     part = F.slice("spot", F.lit(1), F.col("n"))
     norm = F.array_join(F.slice("norms", F.lit(1), F.col("n")), T.GAP)
     key = F.when(norm.isin(list(stopwords)), F.array_join(F.transform(part, lambda t: t["token"]), T.GAP)).otherwise(norm) if stopwords else norm

@@ -39,11 +39,11 @@ _boxes = "─-▟╀-╿⌐₧"
 #: What no sound text of this kind contains: C1 controls, replacement signs, box drawing, accents and signs within words, capitals after small letters.
 _ODD = [
     (3, re.compile(f"[\x80-\x9f�{_boxes}]")),
-    (2, re.compile(f"(?<=[a-zß-ÿ])[{_odd_sign}×](?=[a-zß-ÿ])|(?<=[A-ZÀ-ÖØ-Þ])[{_odd_sign}](?=[A-ZÀ-ÖØ-Þ])")),
+    (2, re.compile(f"(?<=[A-Za-zÀ-ÿ])[{_odd_sign}·¥£¢€«»×](?=[a-zß-ÿ])|(?<![^\\s(])[³¾¶™§](?=[a-zß-ÿ]{{2}})|(?<=[a-zß-ÿ])[¾¶¬¤](?!\\w)|(?<=[A-ZÀ-ÖØ-Þ])[{_odd_sign}](?=[A-ZÀ-ÖØ-Þ])")),
     (2, re.compile("(?<=[a-zß-öø-ÿ])[À-ÖØ-ÞŒŠŽŸ]")),
     (1, re.compile("[ŠšŽžŸÐðÞþƒˆ˜]")),
-    (1, re.compile("(?<![^\\s(])[ÈÒÓÔÙÛÊË](?![^\\s,.;:!?)])|(?<![^\\s(])[ÒÔ](?=[a-z])|(?<![^\\s(])ô(?=[a-z])|(?<=[a-z])[ÓÕö](?![^\\s,.;:!?)])|(?<![^\\s(])ô(?=[A-Z])|(?<=[.,!?])[öÓ](?!\\w)|(?<=[A-Za-z])Æ(?=[a-z])")),
-    (0.06, re.compile("[òìùëõåøÿýÌÙÒÏËØÓÔÕÈÊÚÛ]")),
+    (1, re.compile("(?<![^\\s(])[ÈÒÓÔÙÛÊË](?![^\\s,.;:!?)])|(?<![^\\s(])[ÒÔ](?=[a-z])|(?<![^\\s(])ô(?=[a-z])|(?<=[a-z])[ÓÕö](?![^\\s,.;:!?)])|(?<![^\\s(])ô(?=[A-Z])|(?<=[.,!?])[öÓÒÈÕ](?!\\w)|(?<=[A-Za-z])Æ(?=[a-z])")),
+    (0.06, re.compile("[òìùëõåøæÿýÌÙÒÏËØÓÔÕÈÊÚÛ]")),
     (1, re.compile("(?<=[a-z])[ÃÂ](?![a-z])|[ÃÂ](?=[^\\sA-Za-zÀ-ÿ]|$)|â(?=[^\\sA-Za-z’',.;:)!?-])|â€|Î(?=[^\\sA-Za-zÀ-ÿ])|√(?=[^\\s\\d(])|(?<=[a-z]),(?=Ä)")),
 ]
 

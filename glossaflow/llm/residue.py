@@ -30,7 +30,7 @@ FIELDS = [
 #: Fixed values. Filler text.
 FILLER = [
     r"lorem ipsum", r"\b(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|tempor|aliqua|ullam\w*|vivamus|consequat|velit|magna|nisi|sed|ut|sit)(?:[\s,]+(?:lorem|ipsum|dolor|amet|consectetur|adipiscing|elit|tempor|aliqua|ullam\w*|vivamus|consequat|velit|magna|nisi|sed|ut|sit)\b){4}",
-    r"\bx{3,}(?:\s+x{2,}){2}", r"\b(tbd|tba|todo|fixme|asdf|blah|n/a)(?:[\s,]+\1\b){1}", r"\btodo\s*:\s*\w", r"\bfixme\b", r"(?:^|[.!?…\n]\s*|\s)sample text\s*(?:[.!\n]|$)", r"\b(?:dummy|filler) text\b(?=\s*(?:[.!:\n]|$))",
+    r"\bx{3,}(?:\s+x{2,}){2}", r"\b(tbd|tba|fixme|asdf|blah|n/a)(?:[\s,]+\1\b){1}", r"\btodo\s*:\s*(?:write|add|fill|insert|complete|replace|update|fix|describe|check|translate|put|enter)\b", r"\bfixme\b", r"(?:^|[.!?…\n]\s*|\s)sample text\s*(?:[.!\n]|$)", r"\b(?:dummy|filler) text\b(?=\s*(?:[.!:\n]|$))",
     r"\byour (?:\w+ ){0,3}goes here", r"\b(?:type|enter|write|put|insert|paste|add) (?:the |your )[\w. ]{1,30} here\b", r"\breplace this (?:paragraph|text|section|sentence|line)", r"placeholder\s*[–—:-]\s*do not publish", r"\bdo not publish\b", r"\bcoming soon\b",
     r"text folgt(?: in kürze)?", r"\b(?:platzhaltertext|blindtext|beispieltext)\b", r"hier (?:text|ihren? [\w-]+) (?:einfügen|eingeben|eintragen)", r"texte à (?:compléter|venir|insérer|remplacer)", r"(?:insérez|saisissez|collez) (?:ici|votre|le) (?:texte|résumé)", r"résumé à (?:compléter|venir)",
     r"aquí va (?:el|la|su|un)\b", r"(?:inserte|escriba|introduzca|pegue) aquí", r"texto de (?:ejemplo|relleno|prueba|exemplo)", r"(?:insira|escreva|digite|cole) aqui", r"aqui vai [oa]\b", r"(?:o )?texto será inserido",

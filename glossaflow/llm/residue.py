@@ -39,9 +39,9 @@ FILLER = [
 ]
 #: Fixed values. Messages of errors and of barred access.
 ERRORS = [
-    rf"\b(?:http(?:/\d(?:\.\d)?)?|error|status|code|oops!?)\W{{0,4}}[1-5]\d\d\b\W{{0,5}}\s*(?:{_REASON}|$|\n|the {_NOUN})", rf"(?:^|[\n.!?…]\s*|[^\w\s-]\s+|\s)[45]\d\d\b\s*[|–—:.-]{{0,2}}\s*{_REASON}", rf"{_REASON}\s*[\[(](?:status |code |error |http )?[45]\d\d[\])]",
+    rf"\b(?:http(?:/\d(?:\.\d)?)?|error|status|code|oops!?)\W{{0,4}}[1-5]\d\d\b\W{{0,5}}\s*(?:{_REASON}|$|\n|the {_NOUN})", rf"(?<![0-9a-z,/%-])(?<!\d\.)[45]\d\d\b\s*[|–—:.-]{{0,2}}\s*{_REASON}", rf"{_REASON}\s*[\[(](?:status |code |error |http )?[45]\d\d[\])]",
     rf"\berror [45]\d\d\b", rf"\b(?:fehler|erreur|ошибка|erro)\s*:?\s*[45]\d\d\b", r"(?:错误|エラー)\s*[:：]?\s*[45]\d\d", rf"\bstatus\s*:\s*[45]\d\d\b",
-    rf"(?:^|[\n.!?…]\s*)\s*{_NOUN} not found\s*(?:[.!|\n(\[]|$)", rf"\bthe {_NOUN} you (?:requested|asked for|are looking for|were looking for|tried to)", rf"\b(?:we|i) (?:could not|couldn.t|cannot|can.t|are unable to|were unable to|are not able to) (?:find|show|load|display|fetch|open|retrieve) (?:the|this|that|your) {_NOUN}",
+    rf"(?:^|[\n.!?…。！？।”»)]\s*)\s*{_NOUN} not found\s*(?:[.!|\n(\[]|$)", r"\bpage not found\s*[.!]?\s*(?:\n|$)", rf"\bthe {_NOUN} you (?:requested|asked for|are looking for|were looking for|tried to)", rf"\b(?:we|i) (?:could not|couldn.t|cannot|can.t|are unable to|were unable to|are not able to) (?:find|show|load|display|fetch|open|retrieve) (?:the|this|that|your) {_NOUN}",
     rf"\bthis {_NOUN} (?:could not be|cannot be|can.t be) (?:loaded|found|shown|displayed|opened)", rf"\bthis {_NOUN} is (?:temporarily |currently |no longer )(?:offline|unavailable|available|not available)", rf"\b(?:this|the) {_NOUN} (?:you \w+ \w+ )?(?:has been|was) (?:withdrawn from the server|moved or deleted|removed from the server)",
     rf"\blink to (?:this|the) {_NOUN} has expired", rf"\bno {_NOUN} matches this (?:address|url|link)", rf"\b(?:is )?no longer available on (?:our|this) (?:site|server|website)", rf"\bsorry, (?:this|the|that|your|we) ", r"\boops!",
     r"\b(?:an? )?(?:unexpected|unknown|internal) error (?:has )?occurred", r"\bsomething went wrong (?:while|when|on our|with)|\bsomething went wrong\s*(?:[.!\n]|$)", r"\bplease try again\b", r"\btry again later\b", r"\btoo many requests\b", r"\bbad gateway\b", r"\binternal server error\b", r"\bgateway time-?out\b", r"\brequest timed out\b", r"\bservice (?:is )?temporarily unavailable\b",

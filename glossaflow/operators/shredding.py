@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossaflow.session import spread
+from glossaflow.session import spread_shuffled
 
 #: What lies under each kind of object: label of the list -> (kind of its members, sign in the path). Infons are a map under every kind.
 BIOC = {
@@ -125,7 +125,7 @@ def adjacency(raw: DataFrame, key: str = "rec_id", body: str = "body") -> DataFr
     object give no rows. Other columns of ``raw`` are not read, whatever their names.
     """
     one = raw.where(F.col(key).isNotNull() & (F.length(body) > 1)).groupBy(F.col(key).cast("long").alias("rec_id")).agg(F.min(body).alias("body"))
-    return spread(one).mapInArrow(_shred, ADJACENCY)
+    return spread_shuffled(one).mapInArrow(_shred, ADJACENCY)
 
 
 def entity_table(adjacent: DataFrame, entity: str, fields: list[str] | None = None) -> DataFrame:

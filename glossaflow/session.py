@@ -13,7 +13,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
-    """``df`` in at least ``per_core`` partitions per core, for stages whose cost is CPU and not bytes.
+    """The scan ``df`` in at least ``per_core`` partitions per core, for stages whose cost is CPU and not bytes.
 
     A scan that is already split finely enough (always so at scale) is returned untouched, so large inputs pay no
     shuffle; a table in one small file would otherwise run its Python stage on one core.
@@ -23,6 +23,12 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
+def spread_shuffled(df: DataFrame, per_core: int = 3) -> DataFrame:
+    """spread() of a frame behind a shuffle, whose partitions adaptive execution would merge by bytes. It is not asked for its partitions, as that would run the shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut by a reliable checkpoint in the folder that the cluster names."""
     spark = df.sparkSession

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from glossaflow.llm import encoding
 from glossaflow.llm.lookalikes import CYRILLIC
-from glossaflow.session import spread
+from glossaflow.session import spread_shuffled
 
 #: Fixed values. Abbreviations by language that never end a sentence, and some that may.
 NEVER = {
@@ -242,7 +242,7 @@ def sentences(passages: DataFrame) -> DataFrame:
     """
     row = F.struct("text", F.coalesce("passage_offset", F.lit(0)).alias("passage_offset"), "lang", _is_title(passages).alias("title"))
     once = passages.where("passage_id is not null and text is not null").groupBy("passage_id").agg(F.min(row).alias("x")).select("passage_id", "x.*")
-    return spread(once).mapInPandas(_rows, "passage_id bigint, char_offset int, text string")
+    return spread_shuffled(once).mapInPandas(_rows, "passage_id bigint, char_offset int, text string")
 
 
 def _is_title(passages: DataFrame):

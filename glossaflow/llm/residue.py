@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from re import _constants as sre
+from re import _parser as re_parser
 
 import ahocorasick
 import pandas as pd
@@ -64,16 +66,91 @@ SCRIPTS = [
     r"(?:active|activar|habilite|habilitar|permita) (?:el )?(?:java ?script|los scripts)", r"(?:ative|ativar|permita|habilite) (?:o )?(?:java ?script|os scripts)", r"(?:necesita|requiere|precisa de|requer) java ?script", r"java ?script (?:está|debe estar|deve estar) .{0,20}(?:activado|desactivado|habilitado|ativado|desativado|deshabilitado)",
     r"(?:включите|активируйте|разрешите)(?: поддержку)? (?:java ?script|скрипт|cookies)", r"(?:java ?script|скрипты) (?:отключ|должен быть включ|должны быть включ|заблокир)", r"(?:требуется|необходим) java ?script", r"(?:启用|开启|打开|允许).{0,12}(?:java ?script|脚本)", r"(?:java ?script|脚本).{0,8}(?:禁用|未启用|启用后)", r"(?:java ?script|スクリプト).{0,8}(?:有効|オン|許可|必要|無効)", r"(?:java ?script|जावास्क्रिप्ट).{0,16}(?:सक्षम|चालू|सक्रिय|आवश्यक)", r"(?:เปิด|เปิดใช้|อนุญาต).{0,10}(?:java ?script|สคริปต์)",
 ]
-#: What a text must hold, in small letters, for any of the above to match.
-KEYS = (
-    "script,cookie,скрипт,脚本,スクリプト,जावा,สคริปต์,skripte,error,fehler,erreur,ошибк,erro ,错误,エラー,not found,gefunden,existiert nicht,introuvable,existe,encontrad,se encuentra,disponible,disponív,не найден,не существует,不存在,未找到,已被删除,无法,找不到,見つかり,存在しません,表示できません,नहीं,หน้า,"
-    "denied,forbidden,authori,unavailable,verfügbar,erreichbar,verweigert,gateway,timed out,timeout,time-out,requests,try again,expired,sign in,signin,log in,login,melden sie,loggen sie,withdrawn,deleted,offline,no longer,matches this,unable to,could not,couldn,cannot,can't,can’t,asked for,looking for,requested,access,acces,accès,acesso,доступ,войдите,访问,登录,ログイン,アクセス,subscri,"
-    "went wrong,oops,fatal,undefined,not set,null,traceback,stack trace,slow down,bad request,server,serveur,servi,сервер,服务,サーバ,gone,http,status,sorry,session,inicie,indispon,недоступ,произошла,ご利用,利用,maintenance,checking your,lorem,dolor,xxx,tbd,tba,todo,fixme,asdf,blah,n/a,goes here, here,replace this,placeholder,do not publish,sample text,dummy text,filler text,coming soon,"
-    "folgt,platzhalter,blindtext,beispieltext,einfügen,eingeben,eintragen,texte à,insérez,saisissez,collez,résumé à,aquí va,inserte,escriba,introduzca,pegue,texto de,insira,escreva,digite,cole aqui,aqui vai,será inserido,вставьте,здесь будет,место для,заполнитель,введите,此处,在此,请填写,请输入,示例文本,占位,ここに,サンプル,ダミー,लिखें,डालें,दर्ज,जोड़ें,ที่นี่,.php"
-).split(",")
-_LETTERS = "abcdefghijklmnopqrstuvwxyz"
-#: How any field begins or what it holds.
-SIGNS = ["{%", "{{", "{ ", "<%", "&lt;", "@@", "[[", "__", "to be added", "to be completed", "[insert", "<insert", "(insert", "{insert", " here]", "tbd]", "tba]", "placeholder", *[s + c for s in "{<%$«[(" for c in _LETTERS]]
+#: At most so many literals are held for a part of a pattern.
+_MOST = 1500
+_BLANKS, _DIGITS = set(" \t\n\r\f\v"), set("0123456789")
+
+
+def _rarity(literal: str) -> float:
+    return sum(2 if c > "\x7f" else 1 if c.isalpha() else 0.4 if c.isdigit() or c.isspace() else 1.5 for c in literal)
+
+
+def _better(sets: list[set[str] | None]) -> set[str] | None:
+    """The set whose most common literal is rarest, of such the smallest; None if each has the empty one."""
+    return max((s for s in sets if s and "" not in s), key=lambda s: (min(map(_rarity, s)), -len(s)), default=None)
+
+
+def _members(items: list) -> set[str] | None:
+    """The characters of a class; None if they are many."""
+    out: set[str] = set()
+    for op, x in items:
+        if op is sre.LITERAL:
+            out.add(chr(x))
+        elif op is sre.RANGE and x[1] - x[0] < 32:
+            out |= {chr(c) for c in range(x[0], x[1] + 1)}
+        elif op is sre.CATEGORY and x in (sre.CATEGORY_SPACE, sre.CATEGORY_DIGIT):
+            out |= _BLANKS if x is sre.CATEGORY_SPACE else _DIGITS
+        else:
+            return None
+    return out
+
+
+_NOTHING = ({""}, {""}, {""}, None)
+_ANY = (None, {""}, {""}, None)
+
+
+def _cross(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    return None if a is None or b is None or len(a) * len(b) > _MOST else {x + y for x in a for y in b}
+
+
+def _then(a: tuple, b: tuple) -> tuple:
+    pre, suf = _cross(a[0], b[1]), _cross(a[2], b[0])
+    return _cross(a[0], b[0]), a[1] if pre is None else pre, b[2] if suf is None else suf, _better([a[3], b[3], _cross(a[2], b[1])])
+
+
+def _literals(parsed) -> tuple:
+    """(all texts that a parsed pattern matches or None, how each begins, how each ends, a set of which each holds one or None)."""
+    out = _NOTHING
+    for op, x in parsed:
+        if op is sre.LITERAL:
+            part = ({chr(x)},) * 4
+        elif op is sre.IN:
+            part = (c,) * 4 if (c := _members(x)) else _ANY
+        elif op is sre.BRANCH:
+            parts = [_literals(y) for y in x[1]]
+            held = [_better([y[0], y[3]]) for y in parts]
+            whole = None if any(y[0] is None for y in parts) else set().union(*(y[0] for y in parts))
+            part = (whole, set().union(*(y[1] for y in parts)), set().union(*(y[2] for y in parts)), None if any(y is None for y in held) else set().union(*held))
+        elif op is sre.SUBPATTERN:
+            part = _literals(x[-1])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            low, high, inner = x[0], x[1], _literals(x[2])
+            part = _NOTHING
+            for _ in range(low):
+                part = _then(part, inner)
+            if high != low:
+                if low == 0 and high == 1:
+                    part = (None if inner[0] is None else inner[0] | {""}, inner[1] | {""}, inner[2] | {""}, None)
+                else:
+                    # more of the same: the beginning and the end are still those of the least number
+                    part = (None, part[1], part[2], _better([part[0], part[3]]))
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            part = _NOTHING
+        else:
+            part = _ANY
+        out = _then(out, part)
+    return out
+
+
+def literals(pattern: str) -> set[str]:
+    """Literals of which every match of ``pattern`` holds one."""
+    whole, *_, held = parts = _literals(re_parser.parse(pattern, re.A))
+    found = _better([whole, held, parts[1], parts[2]])
+    if found is None:
+        raise ValueError(f"no literal that all matches hold: {pattern}")
+    return found
+
+
 #: Word borders are those of ASCII words, as text of other scripts may adjoin.
 _FIELD = re.compile("|".join(FIELDS), re.A)
 _MESSAGE = re.compile("|".join([*FILLER, *ERRORS, *SCRIPTS]), re.A)
@@ -84,9 +161,10 @@ REACH = 160
 @cache
 def _automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, keys in ((1, KEYS), (2, SIGNS)):
-        for k in keys:
-            found.add_word(k, found.get(k, 0) | kind)
+    for kind, patterns in ((1, [*FILLER, *ERRORS, *SCRIPTS]), (2, FIELDS)):
+        for p in patterns:
+            for k in literals(p):
+                found.add_word(k, found.get(k, 0) | kind)
     found.make_automaton()
     return found
 

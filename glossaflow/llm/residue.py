@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line is boilerplate of its host if at least this share of the host's documents, and this many, have it.
-SHARE, LEAST = 0.02, 20
+#: A line is boilerplate of its host if it recurs, that is, is in several documents, and at least this share of the host's documents have it.
+SHARE = 0.02
 
 _NOUN = r"(?:article|abstract|document|page|record|patent|full text|study entry|entry|paper|report|content|file|resource|text|item|site|link|url)"
 _REASON = (
@@ -189,14 +189,25 @@ def pieces(text: str) -> list[tuple[int, str]]:
     return out
 
 
+#: What a piece may begin with that belongs to the sentence or line before.
+_LEAD = "\n.!?…。！？”») "
+
+
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of the texts that have evidence: one row for each piece, and one for each other line that isn't blank."""
     for b in batches:
-        rows = [
-            (doc, host, hit, text[text.rfind("\n", 0, place) + 1 : (text.find("\n", place) + 1 or len(text) + 1) - 1])
-            for doc, host, text in zip(b["doc_id"], b["host"], b["text"])
-            for place, hit in pieces(text)
-        ]
-        yield pd.DataFrame(rows, columns=["doc_id", "host", "evidence", "line"])
+        rows = []
+        for doc, host, copy, text in zip(b["doc_id"], b["host"], b["copy"], b["text"]):
+            hits: dict[int, list[str]] = {}
+            for place, hit in pieces(text):
+                place += len(hit) - len(hit.lstrip(_LEAD))
+                hits.setdefault(text.rfind("\n", 0, place) + 1, []).append(hit)
+            begin = 0
+            for line in text.split("\n") if hits else []:
+                if begin in hits or line.strip():
+                    rows += [(doc, host, copy, hit, line) for hit in hits.get(begin, [None])]
+                begin += len(line) + 1
+        yield pd.DataFrame(rows, columns=["doc_id", "host", "copy", "evidence", "line"])
 
 
 def line_key(line: Column) -> Column:
@@ -204,12 +215,18 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.translate(F.lower(F.trim(line)), "123456789", "000000000"))
 
 
-def boilerplate(documents: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """(host, key): normalised lines that recur in at least ``share`` of the documents of a host, and in ``least``."""
-    keys = F.array_distinct(F.transform(F.split("text", "\n"), line_key))
-    texts = documents.where(F.col("text").isNotNull()).select(F.coalesce("source", F.lit("")).alias("host"), keys.alias("keys"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("size")).withColumnRenamed("host", "h")
-    counts = texts.select("host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def exact_key(line: Column) -> Column:
+    """The key of a line with its digits."""
+    return F.xxhash64(F.lit("exact"), F.lower(F.trim(line)))
+
+
+def boilerplate(documents: DataFrame, share: float = SHARE) -> DataFrame:
+    """(host, key): lines, by both keys, that recur in at least ``share`` of the documents of a host; repeated rows of a document are one."""
+    lines = F.split("text", "\n")
+    keys = F.array_union(F.transform(lines, line_key), F.transform(lines, exact_key))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), keys.alias("keys"))
+    sizes = texts.groupBy("host").agg(F.countDistinct("doc_id").alias("size")).withColumnRenamed("host", "h")
+    counts = texts.select("doc_id", "host", F.explode("keys").alias("key")).groupBy("host", "key").agg(F.countDistinct("doc_id").alias("n")).where(F.col("n") > 1)
     return counts.join(sizes, F.col("host") == F.col("h")).where(F.col("n") >= share * F.col("size")).select("host", "key")
 
 
@@ -217,11 +234,17 @@ def residue(documents: DataFrame) -> DataFrame:
     """(doc_id, evidence): the documents whose residual has evidence of a template, filler, an error page or a barred page, with its first piece.
 
     The residual is the text without the lines that recur on its host (its source; null is a host of its own), so
-    evidence in such a line doesn't count. Null and empty texts have none; repeated rows give one row.
+    evidence in such a line doesn't count where other content remains: a line that doesn't recur with the same digits.
+    Where none remains, the document is the notice itself, and all its evidence counts. Null and empty texts have none;
+    repeated rows give one row.
     """
-    texts = documents.where(F.length("text") > 2).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), "text")
-    found = texts.mapInPandas(_search, "doc_id bigint, host string, evidence string, line string").withColumn("key", line_key(F.col("line")))
-    return found.join(boilerplate(documents), ["host", "key"], "left_anti").groupBy("doc_id").agg(F.min("evidence").alias("evidence"))
+    texts = documents.where(F.length("text") > 2).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), "text")
+    lines = texts.mapInPandas(_search, "doc_id bigint, host string, copy bigint, evidence string, line string").withColumn("key", F.when(F.col("evidence").isNull(), exact_key(F.col("line"))).otherwise(line_key(F.col("line")))).drop("line")
+    known = boilerplate(documents).select(F.col("host").alias("h"), F.col("key").alias("k"))
+    judged = lines.join(known, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), "left").withColumn("own", F.col("k").isNull())
+    first = F.when(F.max("own"), F.min(F.when(F.col("own"), F.col("evidence")))).otherwise(F.min("evidence"))
+    by_text = judged.groupBy("doc_id", "host", "copy").agg(first.alias("evidence")).where("evidence is not null")
+    return by_text.groupBy("doc_id").agg(F.min("evidence").alias("evidence"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

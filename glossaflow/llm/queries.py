@@ -38,7 +38,7 @@ def p3_found(spark, sf_dir):
 
 
 def p3_ngrams(spark, sf_dir):
-    return termfreq.gram_counts(termfreq.annotation_values(read(spark, sf_dir, "annotations")), max_n=4)
+    return termfreq.gram_counts(termfreq.annotation_values(read(spark, sf_dir, "annotations")), max_n=termfreq.ALL)
 
 
 def p4_sentences(spark, sf_dir):

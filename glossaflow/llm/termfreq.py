@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Signs for the begin and the end of a value and between the pieces of a key; as text they are doubled by escape().
 BEGIN, END, GAP = "\x02", "\x03", "\x01"
+#: As ``max_n``: grams of any number of pieces.
+ALL = 0
 _ROWS = "gram string, size int, occurrences bigint, records bigint, record string"
 
 
@@ -30,14 +32,14 @@ def suffixes(values: DataFrame, max_n: int | None) -> DataFrame:
     """(suffix, record, weight) of values (record, value, weight), equal ones summed before any shuffle.
 
     Without ``max_n`` a value is one piece and has one suffix. With it, a value is cut into words, numbers and single
-    other signs, and has one suffix for each of them, cut after ``max_n`` pieces.
+    other signs, and has one suffix for each of them, cut after ``max_n`` pieces, or to the end of the value if that is ALL.
     """
     if max_n is None:
         pieces = values.select("record", "weight", F.concat(F.lit(BEGIN), escape(F.col("value")), F.lit(END)).alias("suffix"))
     else:
         words = F.regexp_extract_all(F.translate("value", GAP + BEGIN + END + "\x04", "    "), F.lit(r"(\p{Nd}+|[\p{L}\p{M}\p{Nl}\p{No}]+|[^\s\p{L}\p{M}\p{N}])"), 1)
         cut = values.select("record", "weight", words.alias("words")).select("record", "weight", "words", F.posexplode("words").alias("at", "word"))
-        pieces = cut.select("record", "weight", F.array_join(F.slice("words", F.col("at") + 1, F.lit(max_n)), GAP).alias("suffix"))
+        pieces = cut.select("record", "weight", F.array_join(F.slice("words", F.col("at") + 1, F.size("words") if max_n == ALL else F.lit(max_n)), GAP).alias("suffix"))
     return pieces.groupBy("suffix", "record").agg(F.sum("weight").alias("weight"))
 
 
@@ -112,7 +114,7 @@ def gram_counts(values: DataFrame, max_n: int | None = None, partitions: int | N
     """(gram, size, occurrences, records): how often each n-gram occurs in ``values`` (record, value, weight) and in how many records.
 
     Null values are left out; null records count as occurrences only; an empty value is a value. With ``max_n`` grams of
-    1 to ``max_n`` pieces are counted (pieces joined by a blank), else whole values. The suffix array is sorted over all
+    1 to ``max_n`` pieces, or of any number if it is ALL, are counted (pieces joined by a blank), else whole values. The suffix array is sorted over all
     partitions by (suffix, record); an n-gram that a border of partitions may cut is put together from its parts by its
     distinct records, every other comes out of one interval.
     """

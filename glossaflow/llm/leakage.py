@@ -230,15 +230,13 @@ def leaks_of_shard(items: Items, docs: list[tuple[int, str]]) -> list[tuple[int,
         part = slice(edges[x], edges[x + 1])
         item_id, item = items.words[pair[part.start] // len(docs)]
         doc = int(pair[part.start] % len(docs))
-        best = _best(item, words[doc], spots[part], p[part])
-        if best[2]:
-            out.append((int(item_id), docs[doc][0], *best))
+        out += [(int(item_id), docs[doc][0], *x) for x in _spans(item, words[doc], spots[part], p[part])]
     return out
 
 
-def _best(item: list[str], words: list[str], spots: np.ndarray, p: np.ndarray) -> tuple[int, int, int]:
-    """(begin, end, words) of the longest leak of an item in a document, of whose phrases ``p`` were found at ``spots``."""
-    best, tried = (0, 0, 0), set()
+def _spans(item: list[str], words: list[str], spots: np.ndarray, p: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, end, words) of the leaks of an item in a document, of whose phrases ``p`` were found at ``spots``; spans that overlap as one, with the words of its longest leak."""
+    held, tried = [], set()
     slack = len(item) // EDIT_RATE + 2
     shift = spots - p
     for base in np.unique(shift // slack):
@@ -248,16 +246,22 @@ def _best(item: list[str], words: list[str], spots: np.ndarray, p: np.ndarray) -
         span = max(0, int(shift[near].min()) - slack), min(len(words), int(shift[near].max()) + len(item) + slack)
         if span not in tried:
             tried.add(span)
-            if (n := leak_length(item, words[span[0] : span[1]])) > best[2]:
-                best = (*span, n)
-    return best
+            if n := leak_length(item, words[span[0] : span[1]]):
+                held.append((*span, n))
+    out: list[tuple[int, int, int]] = []
+    for begin, end, n in sorted(held):
+        if out and begin < out[-1][1]:
+            out[-1] = out[-1][0], max(end, out[-1][1]), max(n, out[-1][2])
+        else:
+            out.append((begin, end, n))
+    return out
 
 
 _LEAKS = "item_id bigint, doc_id bigint, begin int, end int, words int"
 
 
 def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(item_id, doc_id, begin, end, words): the items that each document holds in whole or part.
+    """(item_id, doc_id, begin, end, words): the items that each document holds in whole or part, each place of an item apart.
 
     Every Arrow batch of documents is a shard with an index of its own; no document is moved. The items are searched in
     blocks of ``block``, each one pass, so what is broadcast has a bound. Null and empty texts hold nothing; items of
@@ -271,7 +275,7 @@ def leaks(documents: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFra
         some = known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         part = _pass(documents, [(r.item_id, r.text) for r in some.collect()])
         found = part if found is None else found.unionByName(part)
-    return found.groupBy("item_id", "doc_id").agg(F.max(F.struct("words", "begin", "end")).alias("x")).select("item_id", "doc_id", "x.begin", "x.end", "x.words")
+    return found.distinct()
 
 
 def _pass(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
@@ -292,4 +296,4 @@ def removal_spans(found: DataFrame) -> DataFrame:
     by_doc = Window.partitionBy("doc_id").orderBy("begin", "end", "item_id")
     before = F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
     runs = found.withColumn("new", F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.count("*").alias("items")).drop("run")
+    return runs.groupBy("doc_id", "run").agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.countDistinct("item_id").alias("items")).drop("run")

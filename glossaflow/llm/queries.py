@@ -61,12 +61,12 @@ def p6_found(spark, sf_dir):
 
 
 def p7_leaks(spark, sf_dir):
-    """The items in each affected document, with the span of words."""
+    """The items in each affected document, with the span of words of each place."""
     return leakage.leaks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))
 
 
 def p7_found(spark, sf_dir):
-    return p7_leaks(spark, sf_dir).select("item_id", "doc_id")
+    return p7_leaks(spark, sf_dir).select("item_id", "doc_id").distinct()
 
 
 def p7_spans(spark, sf_dir):

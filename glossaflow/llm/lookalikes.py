@@ -34,8 +34,8 @@ _invisible = re.compile(f"[{INVISIBLE}]")
 _blank = re.compile(f"[{BLANKS}]")
 _token = re.compile("[A-Za-zÀ-ÖØ-öø-ʯͰ-ϿЀ-ԯἀ-῿0-9]+")
 _cyr, _gre, _lat = re.compile("[Ѐ-ԯ]"), re.compile("[Ͱ-Ͽἀ-῿]"), re.compile("[A-Za-zÀ-ÖØ-öø-ʯ]")
-#: What the JVM looks for before a text goes to Python.
-SCREEN = r"[\x{FF01}-\x{FF5E}\x{FB00}-\x{FB06}\x{B5}\x{2126}\x{212A}\x{212B}\x{2103}\x{2109}\x{3300}-\x{33FF}\x{300}-\x{36F}\x{3099}\x{309A}\x{AD}\x{34F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}\t\x0b\f\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{400}-\x{52F}\x{39F}\x{3BF}\x{391}\x{392}\x{395}-\x{397}\x{399}\x{39A}\x{39C}\x{39D}\x{3A1}\x{3A4}\x{3A5}\x{3A7}]"
+#: What the JVM looks for before a text goes to Python: any sign beyond ASCII, and the blanks within ASCII.
+SCREEN = r"[\t\x0b\f\r\x1c-\x1f]|[^\x00-\x7f]"
 
 
 def basic_form(text: str) -> str:

@@ -130,12 +130,12 @@ def _bioc_xml(data: bytes) -> Iterator[dict]:
 
 def read_bioc_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(sections, entities) of BioC XML, plain or gzipped."""
+    import hashlib
     import json
-    import zlib
 
     def parse(p: str, data: bytes) -> Iterator[tuple]:
         for k, d in enumerate(_bioc_xml(data)):
-            yield (zlib.crc32(p.encode()) << 24) + k, json.dumps(d)
+            yield int.from_bytes(hashlib.blake2b(f"{k} {p}".encode(), digest_size=8).digest(), signed=True), json.dumps(d)
 
     return from_adjacency(shredding.adjacency(_parsed(spark, path, parse, "rec_id bigint, body string")))
 

@@ -401,6 +401,12 @@ def _unrestored(text: str) -> bool:
     return bool(_leftover.search(text)) or sum(w * len(p.findall(text)) for w, p in _ODD[1:3]) >= 2
 
 
+def unrestored_places(text: str) -> list[tuple[int, int]]:
+    """[begin, end) of the signs of a restored text that can't be restored: what makes repair() call it lossy."""
+    odd = [m.span() for _, p in _ODD[1:3] for m in p.finditer(text)] if sum(w * len(p.findall(text)) for w, p in _ODD[1:3]) >= 2 else []
+    return [(a, a + 1) for a in lost_marks(text)] + [m.span() for m in _leftover.finditer(text)] + odd
+
+
 def _apply(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([repair(t) for t in texts], columns=["text", "garbled", "lossy"])
 

@@ -98,6 +98,21 @@ def suspects(text: str) -> list[tuple[str, str, str]]:
     return out
 
 
+_beside = re.compile(f"[A-Za-zÀ-ÖØ-öø-ʯͰ-ϿЀ-ԯἀ-῿0-9\u0300-\u036f{INVISIBLE}]")
+
+
+def marred(text: str) -> set[str]:
+    """The tokens, in basic form, at or beside the signs of a text that can't be restored."""
+    out: set[str] = set()
+    for a, b in encoding.unrestored_places(text):
+        while a and _beside.match(text[a - 1]):
+            a -= 1
+        while b < len(text) and _beside.match(text[b]):
+            b += 1
+        out.update(_token.findall(basic_form(text[a:b])))
+    return out
+
+
 _FORMS = "table_name string, row_key bigint, form string, deviates boolean, tokens array<struct<token:string,form:string,kind:string>>"
 
 
@@ -108,7 +123,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sound, garbled, lossy = encoding.repair(text)
             deviates = _deviates(encoding.masked(sound) if garbled else sound)
             form = basic_form(sound)
-            tokens = [] if lossy else suspects(form)
+            tokens = suspects(form)
+            if lossy and tokens:
+                beside = marred(sound) | marred(text)
+                tokens = [t for t in tokens if t[0] not in beside]
             if deviates or tokens or form != text:
                 rows.append((table, key, form, deviates, [{"token": t, "form": f, "kind": k} for t, f, k in dict.fromkeys(tokens)]))
         yield pd.DataFrame(rows, columns=["table_name", "row_key", "form", "deviates", "tokens"])

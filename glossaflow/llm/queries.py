@@ -61,7 +61,7 @@ def p6_found(spark, sf_dir):
 
 
 def p7_leaks(spark, sf_dir):
-    """The items in each affected document, with the span of words of each place."""
+    """The items in each affected document, with the characters of each place."""
     return leakage.leaks(spread(read(spark, sf_dir, "documents").select("doc_id", "text")), read(spark, sf_dir, "eval_items"))
 
 
@@ -73,6 +73,12 @@ def p7_spans(spark, sf_dir):
     return leakage.removal_spans(p7_leaks(spark, sf_dir))
 
 
+def p7_clean(spark, sf_dir):
+    """The documents without the leaked stretches."""
+    documents = read(spark, sf_dir, "documents")
+    return leakage.without_leaks(documents.select("doc_id", "text"), p7_leaks(spark, sf_dir))
+
+
 def p8_mix(spark, sf_dir):
     """The chosen documents with their repeats."""
     return mixing.mixed(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")), read(spark, sf_dir, "mix_targets"))[0]
@@ -95,7 +101,7 @@ def p9_clean(spark, sf_dir):
     return residue.without_residue(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_clean": p9_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_clean": p9_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
 
 _P3 = """
 WITH once AS (SELECT anno_key, min(text) AS term, arg_min(article_id, text) AS article_id FROM annotations WHERE text IS NOT NULL GROUP BY anno_key),

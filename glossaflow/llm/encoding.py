@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 from codecs import getincrementaldecoder
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from math import log
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,9 +28,11 @@ SOUND = [
     (0x2010, 0x2027), (0x202F, 0x203A), (0x2060, 0x2060), (0x2070, 0x208E), (0x20A0, 0x20BF), (0x2100, 0x212B), (0x2150, 0x215F), (0x2190, 0x2193), (0x2200, 0x2265), (0x2500, 0x25CF),
     (0x3000, 0x30FF), (0x4E00, 0x9FFF), (0xFB00, 0xFB04), (0xFEFF, 0xFEFF), (0xFF01, 0xFF5E),
 ]
-MAX_LAYERS = 6
+#: Least drop of the cost for a swap of one-byte encodings, which unlike UTF-8 has no form of its own.
+DROP = 0.5
+#: Texts that the search goes on from at each layer.
+BEAM = 3
 
-_sound = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in SOUND) + "\x00-\x7f]*")
 #: Cyrillic letters that stand for Latin ones in look-alike text.
 _TWINS = "аеорсухіјѕһАВЕКМНОРСТХУІЈЅ"
 _no_controls = dict.fromkeys(range(0x80, 0xA0))
@@ -44,6 +48,10 @@ _ODD = [
     (1, re.compile("[ŠšŽžŸÐðÞþƒˆ˜]")),
     (1, re.compile("(?<![^\\s(])[ÈÒÓÔÙÛÊË](?![^\\s,.;:!?)])|(?<![^\\s(])[ÒÔ](?=[a-z])|(?<![^\\s(])ô(?=[a-z])|(?<=[a-z])[ÓÕö](?![^\\s,.;:!?)])|(?<![^\\s(])ô(?=[A-Z])|(?<=[.,!?])[öÓÒÈÕ](?!\\w)|(?<=[A-Za-z])Æ(?=[a-z])")),
     (0.06, re.compile("[òìùëõåøæÿýÌÙÒÏËØÓÔÕÈÊÚÛ]")),
+    (1.5, re.compile("(?<![^\\s(])[‹¸ⁿ∙⌠∩ΘΦΣ](?=[a-z])|(?<=[A-Za-zà-ÿ])[ΘΦΣΓΩ⌠∩∙ⁿτεδ](?=[a-zà-ÿ])|(?<=[a-zß-ÿ])[一-鿿぀-ヿ](?=[a-zß-ÿ])|[a-z][а-яЀ-Џѐ-џ]|[а-яЀ-Џѐ-џ][a-z]")),
+    (1, re.compile("(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[—–](?=[\\s,.])|(?<=[.,!?])[À-ÿ](?!\\w)|(?<![^\\s(])[à-ÿ](?=[A-Z])")),
+    (0.1, re.compile("(?<=[А-ЯЁ])[А-ЯЁ](?=[А-ЯЁ])")),
+    (1, re.compile("[¿¡](?=[\\s,.;:)])|(?<=[a-z])[¿¡]|(?<![^\\s(])[żˇ](?=[A-Z])")),
     (1, re.compile("(?<=[a-z])[ÃÂ](?![a-z])|[ÃÂ](?=[^\\sA-Za-zÀ-ÿ]|$)|â(?=[^\\sA-Za-z’',.;:)!?-])|â€|Î(?=[^\\sA-Za-zÀ-ÿ])|√(?=[^\\s\\d(])|(?<=[a-z]),(?=Ä)")),
 ]
 
@@ -94,16 +102,53 @@ def _bytes(text: str, encoding: str) -> bytes:
     return bytes(table[c] if c >= "\x80" else ord(c) for c in text)
 
 
+#: Fixed values. Cost of a character by range; ranges further down hold before those above them.
+CHAR_COST = [
+    (0x80, 0x10FFFF, 3), (0xA0, 0xBF, 0.05), (0xA2, 0xAA, 0.3), (0xA7, 0xA7, 0.05), (0xA9, 0xA9, 0.05), (0xAC, 0xAC, 0.3), (0xAE, 0xAF, 0.1), (0xB3, 0xB4, 0.2), (0xB6, 0xB6, 0.3), (0xB8, 0xB9, 0.2), (0xC0, 0xFF, 0.01), (0xE3, 0xE3, 0.02), (0xEB, 0xEB, 0.02), (0xEE, 0xF1, 0.02), (0xD0, 0xD0, 0.3), (0xD7, 0xD7, 0.2), (0xF7, 0xF7, 0.3), (0xDD, 0xDE, 0.3), (0xF0, 0xF0, 0.3), (0xFD, 0xFF, 0.3), (0x100, 0x24F, 0.8), (0x152, 0x153, 0.1), (0x160, 0x161, 0.02), (0x178, 0x178, 0.02), (0x17D, 0x17E, 0.02), (0x192, 0x192, 0.5), (0x2B0, 0x2FF, 1), (0x300, 0x36F, 0.05), (0x370, 0x3FF, 0.6),
+    (0x391, 0x3C9, 0.01), (0x400, 0x52F, 1.5), (0x900, 0x97F, 0.02), (0xE00, 0xE5B, 0.02), (0x1EA0, 0x1EF9, 0.5), (0x2000, 0x206F, 0.05), (0x2013, 0x2026, 0.01), (0x2020, 0x2021, 0.5), (0x2030, 0x2030, 0.5), (0x2039, 0x203A, 0.3), (0x2070, 0x208E, 0.05),
+    (0x207F, 0x207F, 0.5), (0x20A0, 0x20BF, 0.5), (0x20A7, 0x20A7, 3), (0x20AC, 0x20AC, 0.1), (0x2100, 0x212B, 0.2), (0x2150, 0x215F, 0.2), (0x2190, 0x2193, 0.1), (0x2200, 0x22FF, 1), (0x2212, 0x2212, 0.05), (0x2264, 0x2265, 0.05),
+    (0x2248, 0x2248, 0.1), (0x2260, 0x2260, 0.1), (0x3001, 0x3011, 0.02), (0x3040, 0x30FF, 0.02), (0x4E00, 0x9FFF, 0.8), (0xFB00, 0xFB04, 0.3), (0xFEFF, 0xFEFF, 0.1), (0xFF01, 0xFF5E, 0.03), (0xFF61, 0xFF9F, 1.5),
+]
+
+
+@cache
+def _char_cost(c: str) -> float:
+    """What a character costs by itself: Russian letters by their rarity, hanzi by whether a national standard has them among its frequent ones."""
+    if c < "\x80":
+        return 0
+    if (share := RUSSIAN.get(c.lower())) is not None:
+        return 0.05 + min(1, max(0, 0.12 * (-log(share / 100) - 3.2)))
+    if "一" <= c <= "鿿":
+        for e, low, high in (("gb2312", 0xB0, 0xD7), ("shift_jis", 0x88, 0x97)):
+            try:
+                if low <= c.encode(e)[0] <= high:
+                    return 0.05
+            except UnicodeEncodeError:
+                pass
+    return next(w for a, b, w in reversed(CHAR_COST) if a <= ord(c) <= b)
+
+
+@cache
+def _layered() -> re.Pattern:
+    """What is UTF-8 in a Western encoding; leads that are quotation marks or dashes are left out, as these stand before letters."""
+    parts = []
+    for e in ("cp1252", "mac_roman", "cp437", "cp850"):
+        two = "".join(c for c in _to_byte(e) if 0xC2 <= _to_byte(e)[c] <= 0xDF and c not in "«»…–—“”‘’‹› ")
+        tail = f"[{_chars(e, 0x80, 0xBF)}]"
+        parts.append(f"[{re.escape(two)}]{tail}|[{_chars(e, 0xE0, 0xEF)}]{tail}{{2}}")
+    return re.compile("|".join(parts))
+
+
 def cost(text: str) -> float:
-    """The garbling cost of ``text``: its letters and signs that are out of place, weighted, and a little for each non-ASCII character."""
-    return sum(w * len(p.findall(text)) for w, p in _ODD) + 0.01 * len(_nonascii.findall(text))
+    """The garbling cost of ``text``: its letters and signs that are out of place, and what can be read as UTF-8, weighted, and a little for each non-ASCII character."""
+    if text.isascii():
+        return 0.0
+    return len(_layered().findall(text)) + sum(w * len(p.findall(text)) for w, p in _ODD) + sum(n * _char_cost(c) for c, n in Counter(text).items() if c > "\x7f")
 
 
 def _sound_run(run: str, new: str, before: str, after: str, encoding: str) -> bool:
     """Whether a restored run can stand between its neighbours."""
-    if not _sound.fullmatch(new.translate(_no_controls)):
-        return False
-    if encoding in ("cp866", "koi8_r") and not re.search(f"[{_boxes}]", run):
+    if encoding in ("cp866", "koi8_r") and (len(run) < 6 and not re.search(f"[{_boxes}]", run) or _cyrillic.match(before) or _cyrillic.match(after)):
         return False
     if encoding == "cp1251" and (_latin.match(before) or _latin.match(after)) and not set(run) - set(_TWINS):
         return False
@@ -116,17 +161,26 @@ def _sound_run(run: str, new: str, before: str, after: str, encoding: str) -> bo
     return True
 
 
-def _from_utf8(text: str, encoding: str) -> str:
+def _from_utf8(text: str, encoding: str) -> tuple[str, bool]:
+    """(``text`` with its runs that are UTF-8 in ``encoding``, whether they hold all its characters beyond ASCII)."""
+    runs, left = _utf8_runs(encoding), 0
+    whole = len(_nonascii.findall(text)) > 5 and not _nonascii.search(runs.sub("", text))
+
     def restore(m: re.Match) -> str:
+        nonlocal left
         run = m.group()
         try:
             new = _bytes(run, encoding).decode("utf-8")
         except UnicodeDecodeError:
             return run
         before, after = text[m.start() - 1 : m.start()] or " ", text[m.end() : m.end() + 1] or " "
-        return new if _sound_run(run, new, before, after, encoding) else run
+        if not whole and (cost(new) > cost(run) or not _sound_run(run, new, before, after, encoding)):
+            return run
+        left += len(run)
+        return new
 
-    return _utf8_runs(encoding).sub(restore, text)
+    new = runs.sub(restore, text)
+    return new, left > 3 and left == len(_nonascii.findall(text))
 
 
 _hanzi = re.compile("[一-鿿]")
@@ -146,10 +200,9 @@ def _utf8_so_far(raw: bytes) -> bool:
 def _from_wide(text: str, meant: str) -> str:
     """Runs of two-byte characters read as Western. One that can't be anything else must be there; then all that decode to sound characters count."""
     strong = False
-    if meant == "cp932":
-        high = sum(c > "\x7f" and c in _to_byte("cp1252") for c in text)
-        if high - sum(c > "\x7f" and c in _to_byte("cp1252") for c in _utf8_runs("cp1252").sub("", text)) > 0.5 * high:
-            return text  # most of it is UTF-8
+    utf8 = sum(len(x) for x in _utf8_runs("cp1252").findall(text) if _utf8_so_far(_bytes(x, "cp1252")))
+    if 2 * utf8 > sum(c > "\x7f" for c in text):
+        return text  # most of it is UTF-8
 
     def restore(m: re.Match, weak: bool) -> str:
         nonlocal strong
@@ -158,7 +211,7 @@ def _from_wide(text: str, meant: str) -> str:
             part = run[: len(run) - cut]
             try:
                 raw = _bytes(part, "cp1252")
-                if meant != "cp932" and len(raw) >= 4 and min(raw) >= 0x80 and _utf8_so_far(raw):
+                if meant != "cp932" and min(raw) >= 0x80 and _utf8_so_far(raw):
                     return run
                 new = raw.decode(meant)
             except (UnicodeDecodeError, KeyError):
@@ -181,122 +234,103 @@ def _from_wide(text: str, meant: str) -> str:
     return _wide_runs(meant).sub(lambda m: restore(m, True), new) if strong else text
 
 
-_gbk_run = re.compile("[¤-￥�]{2,}")
+_gbk_run = re.compile("[¤-￥�]+")
 
 
 def _from_gbk(text: str) -> str:
-    """UTF-8 read as GBK: a run of hanzi that is strict UTF-8 again, or nearly so where replacement signs show that bytes are lost."""
+    """UTF-8 read as GBK: the longest stretches of each run that are strict UTF-8 again. Only beside a replacement sign may a character be cut; it is lost with it."""
+
+    def stretch(raw: list[bytes | None], i: int, skip: int) -> tuple[int, str]:
+        decoder, best, got, so_far = getincrementaldecoder("utf-8")(), i, "", ""
+        for j in range(i, len(raw)):
+            if raw[j] is None:
+                return j, so_far
+            try:
+                so_far += decoder.decode(raw[j][skip if j == i else 0 :])
+            except UnicodeDecodeError:
+                break
+            if not decoder.getstate()[0]:
+                best, got = j + 1, so_far
+        return best, got
 
     def restore(m: re.Match) -> str:
-        run = m.group()
-        lost = "�" in run
-        try:
-            raw = b"\xff".join(p.encode("gbk") for p in run.split("�"))
-        except UnicodeEncodeError:
-            return run
-        try:
-            new = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            new = raw.decode("utf-8", "replace")
-            sound = sum(len(c.encode()) for c in new if c != "�")
-            if not lost and sound < 0.8 * len(raw) or sound < 0.5 * len(raw) or len(run) < 3:
-                return run
-            new = re.sub("�+", "�", new)
-        few = len(run) < 3 and not lost
-        if len(new) >= len(run) or not _sound.fullmatch(new.replace("�", "")) or any("\x80" <= c <= "\x9f" for c in new) or (few and not _hanzi.search(new) and not _kana.search(new)):
+        run, out, i = m.group(), [], 0
+        raw = [None if c == "�" else _gbk_bytes(c) for c in run]
+        if not any(raw) or any(r is None and c != "�" for r, c in zip(raw, run)):
             return run
-        return new
+        while i < len(run):
+            end, new = i, ""
+            if raw[i] is not None:
+                end, new = stretch(raw, i, 0)
+                if end == i and i and raw[i - 1] is None:
+                    for skip in (1, 2):
+                        if all(0x80 <= x < 0xC0 for x in raw[i][:skip]) and end == i:
+                            end, new = stretch(raw, i, skip)
+            if end > i and (end - i > 2 or end - i == len(run) or end < len(run) and raw[end] is None) and cost(new) < cost(run[i:end]):
+                out.append(new)
+                i = end
+            else:
+                out.append(run[i])
+                i += 1
+        return re.sub("�+", "�", "".join(out))
 
     return _gbk_run.sub(restore, text)
 
 
-def _foreign_hanzi(text: str) -> str:
-    """Lone hanzi in text of Latin letters that are two UTF-8 bytes of an accented letter, Greek letter or sign."""
+@cache
+def _gbk_bytes(c: str) -> bytes | None:
+    try:
+        return c.encode("gbk")
+    except UnicodeEncodeError:
+        return None
 
-    def restore(m: re.Match) -> str:
-        try:
-            new = m.group().encode("gbk").decode("utf-8")
-        except (UnicodeEncodeError, UnicodeDecodeError):
-            return m.group()
-        return new if _sound.fullmatch(new) and all(c < "Ѐ" or " " <= c < "∀" for c in new) else m.group()
-
-    return re.sub("[一-鿿]+", restore, text)
-
-
-def _word_swap(text: str, pairs: list[tuple[str, str]]) -> str:
-    """The swap of one-byte encodings that lowers the cost of ``text`` most, in the words that it improves."""
-    best, least = text, (start := cost(text))
-    if not any(p.search(text) for w, p in _ODD if w >= 1):
-        return text
-    for read_as, meant in pairs:
-        for drop in (0.5, 0.04):
-            new = re.sub(r"\S+", lambda m: _word(m.group(), read_as, meant, drop), text)
-            if drop == 0.5 and (new == text or cost(new) > start - 0.5):
-                break
-        else:
-            if (c := cost(new)) < least - 0.03:
-                best, least = new, c
-    return best
 
+#: Signs that stand beside words.
+_PLAIN = set("“”„‘’–—…±°·«»×µ•")
+_elided = re.compile("[«(“]?[LlDdNnMmTtSsJjCc]’[a-zà-ÿ]")
 
-def _word(w: str, read_as: str, meant: str, drop: float) -> str:
-    table, back = _to_byte(read_as), _to_char(meant)
-    if w.isascii() or any(c > "\x7f" and c not in table for c in w):
-        return w
-    new = "".join(back[table[c]] if c > "\x7f" else c for c in w)
-    return new if cost(new) < cost(w) - drop and _sound.fullmatch(new) else w
 
+def _swapped(text: str, read_as: str, meant: str) -> str:
+    """``text`` with its words, of letters beyond ASCII in ``read_as``, as ``meant``: those that improve; if some clearly do, also those that a sign begins or cuts and that then are words."""
+    table, back = _to_byte(read_as), _to_char(meant)
 
-_words_ru = re.compile("[Ѐ-ӿ]+")
-_base = {c: p for c, p in RUSSIAN.items()}
-
+    def words(drop: float) -> str:
+        def word(m: re.Match) -> str:
+            w = m.group()
+            if w.isascii() or any(c > "\x7f" and c not in table for c in w):
+                return w
+            new = "".join(back[table[c]] if c > "\x7f" else c for c in w)
+            less = cost(w) - cost(new)
+            better = less > drop or drop < DROP and less > -0.1 and (not set(w) & _PLAIN and sum(map(str.isalpha, new)) > sum(map(str.isalpha, w)) or _elided.match(new) is not None or new == "à")
+            return new if better else w
 
-def _russian(text: str) -> float:
-    """Mean log-likelihood of the Cyrillic letters, less a penalty for words that go from small to capital letters."""
-    from math import log
+        return re.sub(r"\S+", word, text)
 
-    total, n = 0.0, 0
-    for w in _words_ru.findall(text):
-        for c in w.lower():
-            total += log(_base.get(c, 0.01))
-        n += len(w)
-        if len(w) > 1 and (w[0].islower() and w[1:].upper() == w[1:] or any(a.islower() and b.isupper() for a, b in zip(w, w[1:]))):
-            total -= 2 * len(w)
-        elif len(w) > 1 and w.isupper():
-            total -= 0.7 * len(w)
-    return total / n if n else -9.0
+    return words(0.04) if words(DROP) != text else text
 
 
-_all_high = re.compile(r"(?<![A-Za-z])[^\x00-\x7f]+(?![A-Za-z])")
+_beside_latin = re.compile(r"(?<=[A-Za-z])[^\x00-\x7f]|[^\x00-\x7f](?=[A-Za-z])")
 _piece_ru = re.compile(r"[^.!?\n]+[.!?\n]*")
 
 
-_swap_signs = re.compile("[а-яё][А-ЯЁ]|[А-ЯЁ]{4}|[╩╚■═╧]|[À-ÿ]{3}|[\x80-\x9f]")
-
-
-def _cyrillic_swap(text: str) -> str:
-    if not _swap_signs.search(text):
-        return text
+def _swapped_cyrillic(text: str, read_as: str, meant: str) -> str:
+    """``text`` with its sentences in which the swap gives Russian at a lower cost; if some clearly do, also those that gain little."""
+    table, back = _to_byte(read_as), _to_char(meant)
 
-    def piece(m: re.Match) -> str:
-        p = m.group()
-        high = [c for c in p if c > "\x7f"]
-        if len(high) < 3 or 2 * sum(len(w) for w in _all_high.findall(p)) < len(high):
-            return p
-        best, most = p, (_russian(p) if _cyrillic.search(p) else -9.0) + 0.8
-        for read_as, meant in SWAPPED_CYRILLIC:
-            table, back = _to_byte(read_as), _to_char(meant)
-            if read_as != "koi8_r" and read_as != "cp1251" and sum(c in table for c in high) < 0.9 * len(high):
-                continue
+    def pieces(drop: float) -> str:
+        def piece(m: re.Match) -> str:
+            p = m.group()
+            high = [c for c in p if c > "\x7f" and c in table]
+            if not high or drop == DROP and len(high) < 4 or len(_beside_latin.findall(p)) > 0.1 * len(high):
+                return p
             new = "".join(back[table[c]] if c > "\x7f" and c in table else c for c in p)
-            letters = sum(bool(_cyrillic.match(c)) for c in new)
-            if letters < 0.7 * len(high) or letters < 4:
-                continue
-            if (s := _russian(new)) > most and s > 0.9:
-                best, most = new, s + 0.01
-        return best
+            if sum("Ѐ" <= back[table[c]] <= "ӿ" for c in high) < 0.7 * len(high):
+                return p
+            return new if cost(new) < cost(p) - drop else p
+
+        return _piece_ru.sub(piece, text)
 
-    return _piece_ru.sub(piece, text)
+    return pieces(0.02) if pieces(DROP) != text else text
 
 
 _ask = re.compile(
@@ -331,8 +365,8 @@ def _suspects() -> re.Pattern:
     return re.compile("|".join([*parts, f"[\x80-\x9f�{_boxes}]", "[¡-þ]{4}", *[p.pattern for w, p in _ODD if w >= 1], "[ЂЃЉЊЌЋЏђѓљњќћџЎўЈҐЄЇІіґєјЅѕї]", "[а-я][А-Я]", "[А-Я]{4}"]))
 
 
-_around = re.compile(r"[^\n]?[^\x00-\x7f]+[^\n]?", re.S)
 _nonascii = re.compile(r"[^\x00-\x7f]")
+_around = re.compile(r"[^\n]?[^\x00-\x7f]+[^\n]?", re.S)
 
 
 def suspicious(text: str) -> bool:
@@ -340,55 +374,79 @@ def suspicious(text: str) -> bool:
     if text.isascii():
         return False
     near = "\n".join(_around.findall(text))
-    return bool(_suspects().search(near)) or (_hanzi.search(near) is not None and (_from_gbk(text) != text or _latin_with_hanzi(text)))
+    return bool(_suspects().search(near)) or (_hanzi.search(near) is not None and (new := _from_gbk(near)) != near and cost(new) < cost(near))
+
 
+_odd_hanzi = re.compile("[㐀-鿿�]")
+_swap_signs = re.compile("[À-ÿ]|[╩╚■═╧]|[\x80-\x9f]|[Ѐ-ӿ]")
 
-def _latin_with_hanzi(text: str) -> bool:
-    return len(_latin.findall(text)) > 20 * len(_hanzi.findall(text)) and not _kana.search(text)
 
+def readings(text: str) -> list[tuple[bool, float, str]]:
+    """(whether all characters beyond ASCII are UTF-8, cost, another reading of ``text``), one layer taken off.
 
-def _weight(text: str) -> float:
-    return cost(text) + 0.02 * len(_nonascii.findall(text))
+    What has a form of its own goes first: UTF-8 throughout, then two-byte characters, then some UTF-8; only texts that
+    none of these explains are read as a swap of one-byte encodings, which must lower the cost clearly, as must those of
+    two-byte characters.
+    """
+    before = cost(text)
+
+    def judged(layers, drop: float = 0) -> list[tuple[bool, float, str]]:
+        rows = [(whole, cost(new), new) for new, whole in layers if new != text]
+        return [r for r in rows if not drop or r[1] < before - drop]
+
+    layers = judged([_from_utf8(text, e) for e in READ_AS])
+    if whole := [x for x in layers if x[0]]:
+        return whole
+    cyrillic = judged([(_swapped_cyrillic(text, *x), False) for x in SWAPPED_CYRILLIC], DROP) if _swap_signs.search(text) else []
+    if re.search("[\x80-\x9f¡-þ‚ƒ]{2}", text) and (wide := judged([(_from_wide(text, meant), False) for _, meant in WIDE], DROP)):
+        high = len(_nonascii.findall(text))
+        if wide := [x for x in wide if (less := len(text) - len(x[2])) >= 3 or 3 * less > high]:
+            return wide + cyrillic
+    if _odd_hanzi.search(text):
+        layers += judged([(_from_gbk(text), False)])
+    if any(c < before for _, c, _ in layers):
+        return layers
+    swaps = judged([(_swapped(text, *x), False) for x in SWAPPED], DROP) if not _cut_utf8.search(text) and any(p.search(text) for w, p in _ODD if w >= 1) else []
+    return layers + cyrillic + swaps
+
+
+def restored(text: str) -> str:
+    """The reading of ``text`` of least cost, over any number of layers: the BEAM best readings are read on until one is sound or there are no others.
+
+    UTF-8 has a form of its own and shortens the text, so that a layer of it may come off before the cost drops; readings
+    that explain all characters beyond ASCII go first.
+    """
+    best, least = text, cost(text)
+    open_, seen = [text], {text}
+    while open_:
+        found = []
+        for t in open_:
+            for whole, c, new in readings(t):
+                if new not in seen:
+                    seen.add(new)
+                    found.append((not whole, c, new))
+                    if c < least:
+                        least, best = c, new
+        if best != text and not suspicious(best):
+            break
+        open_ = [new for _, _, new in sorted(found)[:BEAM]]
+    return best
 
 
 def repair(text: str | None) -> tuple[str | None, bool, bool]:
     """(restored text, whether ``text`` was garbled, whether something can't be restored).
 
-    Layer by layer, the candidate that lowers the cost most is taken: UTF-8 read in a one-byte encoding or GBK, two-byte
-    encodings read as Western, and one one-byte encoding read as another. Null and empty texts are sound.
+    Layer by layer, and over any number of them, text is read as it may have been meant: UTF-8 read in a one-byte
+    encoding or GBK, two-byte encodings read as Western, one one-byte encoding read as another, each decoded strictly. The
+    reading of least cost is taken. Null and empty texts are sound.
     """
     if not text:
         return text, False, False
     lost = bool(lost_marks(text)) if "?" in text else False
     if not suspicious(text):
         return text, lost, lost
-    now = text
-    for _ in range(MAX_LAYERS):
-        was = now
-        options, sure = [], []
-        for meant in ("gb18030", "cp932", "euc_jp"):
-            if re.search("[\x80-\x9f¡-þ‚ƒ]{2}", now) and (new := _from_wide(now, meant)) != now:
-                sure.append((_weight(new), new))
-        for e in READ_AS if not sure else ():
-            if (new := _from_utf8(now, e)) != now:
-                options.append((min(_weight(new), _weight(_from_utf8(new, "cp1252"))), new))
-        options = sure or options
-        if _hanzi.search(now):
-            if (new := _from_gbk(now)) != now:
-                options.append((_weight(new) - 1, new))
-            if _latin_with_hanzi(now) and (new := _foreign_hanzi(now)) != now:
-                options.append((_weight(new) - 1, new))
-        if options:
-            least, new = min(options)
-            if least < _weight(now):
-                now = new
-        if now == was:
-            now = _cyrillic_swap(now)
-        if now == text and not _cut_utf8.search(now):
-            now = _word_swap(now, SWAPPED)
-        if now == was:
-            break
-    rest = lost or _unrestored(now)
+    now = restored(text)
+    rest = lost or _unrestored(now) or now != text and bool(_out_of_place.search(now))
     return now, now != text or rest, rest
 
 
@@ -397,6 +455,10 @@ _cut_utf8 = re.compile("â€|[ÃÂ](?=[°±²³·»«¿¡§©®?])|(?<=[a-zß-
 _leftover = re.compile(f"[\x80-\x9f�{_boxes}]|â€|(?<=[a-zß-öø-ÿ])[ÃÂ](?![A-ZÀ-ÖØ-Þ])|[ÃÂ](?=[°±²³·»«¿¡§©®—–¼½¾])|â(?=[⁰-⁹º¹²³¶µ€™œ]|[ -⃿])|Ã(?=[\\s?.,;)]|$)|Î(?=[±-¿])|ƒ|√(?=[A-Za-zÀ-ÿ©®±])")
 
 
+#: Signs that in a restored text show that some of it is not.
+_out_of_place = re.compile("|".join([p.pattern for w, p in _ODD if w >= 2]) + "|[ЂЃЉЊЌЋЏђѓљњќћџЎўЈҐЄЇґєјїĂăĄąĆćĐđĘęĽľŃńŇňŐőŔŕŘřŚśŞşŢţŤťŮůŰűŹźŻż]|(?<=[A-Za-zà-ÿ])[一-鿿぀-ヿ](?=[a-zà-ÿ])")
+
+
 def _unrestored(text: str) -> bool:
     return bool(_leftover.search(text)) or sum(w * len(p.findall(text)) for w, p in _ODD[1:3]) >= 2
 

@@ -58,3 +58,40 @@ def test_rows(spark):
     rows = [(1, None, "x"), (2, "", "x"), (3, "plain", "x"), (4, "GrÃ¶ÃŸe", "x"), (4, "GrÃ¶ÃŸe", "x"), (5, "tÃ© " * 30_000, "x")]
     got = E.repaired(spark.createDataFrame(rows, "k int, t string, text string"), ["k"], "t").where("garbled").collect()
     assert sorted((r.k, r.text[:5]) for r in got) == [(4, "Größe"), (4, "Größe"), (5, "té té")]
+
+
+def _read(raw: bytes, encoding: str) -> str:
+    return "".join(chr(b) if b < 0x80 else E._to_char(encoding)[b] for b in raw)
+
+
+@pytest.mark.parametrize(
+    ("text", "pairs"),
+    [
+        ("Die Übung der Ärzte über die Größe.", [("cp1252", "mac_roman")]), ("Die Übung der Ärzte über die Größe.", [("cp1252", "mac_roman"), ("utf-8", "cp1252")]), ("über uns", [("cp1252", "cp437")]),
+        ("Les élèves ont été vus à l’école", [("cp1252", "cp437")]), ("小鼠体内活性显著提高了四天后的血流。", [("gb18030", "cp1252"), ("utf-8", "cp1252")]), ("Введение препарата ускоряло кровообращение.", [("koi8_r", "cp1251"), ("utf-8", "mac_roman")]),
+        ("L’infection a précédé la récidive.", [("utf-8", "gbk")]), ("β-X на печень влияло сильно", [("utf-8", "cp866"), ("utf-8", "cp437")]),
+    ],
+)
+def test_nested_pairs_of_encodings(text, pairs):
+    """Each (meant, read as) is undone, or what is left is called lossy."""
+    garbled = text
+    for meant, read_as in pairs:
+        garbled = garbled.encode(meant, "replace").decode("gbk") if read_as == "gbk" else _read(garbled.encode(meant, "replace"), read_as)
+    fixed, found, lossy = E.repair(garbled)
+    assert found and (fixed == text.encode(pairs[0][0], "replace").decode(pairs[0][0]) or lossy)
+
+
+@pytest.mark.parametrize("layers", [6, 7, 9])
+def test_any_number_of_layers(layers):
+    garbled = "Größe und Übelkeit"
+    for _ in range(layers):
+        garbled = _read(garbled.encode(), "cp1252")
+    assert E.repair(garbled) == ("Größe und Übelkeit", True, False)
+
+
+def test_a_gbk_run_is_decoded_strictly():
+    """Frequent hanzi that happen to be UTF-8 bytes stay; a cut character is lost with its replacement sign, and no other."""
+    assert E.repair("小鼠体内的代谢（P < 0.01）。") == ("小鼠体内的代谢（P < 0.01）。", False, False)
+    garbled = "小鼠体内活性显著".encode()[:-1].decode("gbk", "replace")
+    fixed, found, lossy = E.repair(garbled)
+    assert found and lossy and fixed.startswith("小鼠体内活")

@@ -152,41 +152,30 @@ def literals(pattern: str) -> set[str]:
 
 
 #: Word borders are those of ASCII words, as text of other scripts may adjoin.
-_FIELD = re.compile("|".join(FIELDS), re.A)
-_MESSAGE = re.compile("|".join([*FILLER, *ERRORS, *SCRIPTS]), re.A)
-#: No pattern reaches further than this from its key.
-REACH = 160
+_PATTERNS = [re.compile(p, re.A) for p in (*FILLER, *ERRORS, *SCRIPTS, *FIELDS)]
 
 
 @cache
 def _automaton() -> ahocorasick.Automaton:
+    """Finds the literals of all patterns, each with the numbers of the patterns that need it."""
+    needed: dict[str, list[int]] = {}
+    for n, p in enumerate(_PATTERNS):
+        for k in literals(p.pattern):
+            needed.setdefault(k, []).append(n)
     found = ahocorasick.Automaton()
-    for kind, patterns in ((1, [*FILLER, *ERRORS, *SCRIPTS]), (2, FIELDS)):
-        for p in patterns:
-            for k in literals(p):
-                found.add_word(k, found.get(k, 0) | kind)
+    for k, numbers in needed.items():
+        found.add_word(k, tuple(numbers))
     found.make_automaton()
     return found
 
 
 def pieces(text: str) -> list[tuple[int, str]]:
-    """(place, piece) of the evidence in a text: patterns are tried only around what all of them need, so a text is read once."""
+    """(place, piece) of the evidence in a text: of all patterns only those are tried, on the whole text, of which it holds a literal."""
     small = text.lower()
     if len(small) != len(text):
         small = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    spans: dict[int, list[list[int]]] = {1: [], 2: []}
-    for end, kinds in _automaton().iter(small):
-        for kind in (1, 2):
-            if kinds & kind:
-                if spans[kind] and spans[kind][-1][1] >= end - REACH:
-                    spans[kind][-1][1] = end + REACH
-                else:
-                    spans[kind].append([max(0, end - REACH), end + REACH])
-    out = []
-    for kind, pattern in ((1, _MESSAGE), (2, _FIELD)):
-        for a, b in spans[kind]:
-            out += [(m.start() + len(m.group()) - len(m.group().lstrip()), m.group().strip()) for m in pattern.finditer(small, a, min(len(small), b))]
-    return out
+    tried = {n for numbers in {x for _, x in _automaton().iter(small)} for n in numbers}
+    return sorted((m.start() + len(m.group()) - len(m.group().lstrip()), m.group().strip()) for n in tried for m in _PATTERNS[n].finditer(small))
 
 
 #: What a piece may begin with that belongs to the sentence or line before.
@@ -238,7 +227,7 @@ def residue(documents: DataFrame) -> DataFrame:
     Where none remains, the document is the notice itself, and all its evidence counts. Null and empty texts have none;
     repeated rows give one row.
     """
-    texts = documents.where(F.length("text") > 2).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), "text")
+    texts = documents.where(F.length("text") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), "text")
     lines = texts.mapInPandas(_search, "doc_id bigint, host string, copy bigint, evidence string, line string").withColumn("key", F.when(F.col("evidence").isNull(), exact_key(F.col("line"))).otherwise(line_key(F.col("line")))).drop("line")
     known = boilerplate(documents).select(F.col("host").alias("h"), F.col("key").alias("k"))
     judged = lines.join(known, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), "left").withColumn("own", F.col("k").isNull())

@@ -89,7 +89,7 @@ def p8_shares(spark, sf_dir):
 
 
 def p9_evidence(spark, sf_dir):
-    return residue.residue(spread(read(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+    return residue.residue(read(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def p9_found(spark, sf_dir):

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossaflow.session import spread
+
 #: A line is boilerplate of its host if it recurs, that is, is in several documents, and at least this share of the host's documents have it.
 SHARE = 0.02
 
@@ -227,7 +229,7 @@ def residue(documents: DataFrame) -> DataFrame:
     Where none remains, the document is the notice itself, and all its evidence counts. Null and empty texts have none;
     repeated rows give one row.
     """
-    texts = documents.where(F.length("text") > 0).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), "text")
+    texts = spread(documents.where(F.length("text") > 0)).select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64("text").alias("copy"), "text")
     lines = texts.mapInPandas(_search, "doc_id bigint, host string, copy bigint, evidence string, line string").withColumn("key", F.when(F.col("evidence").isNull(), exact_key(F.col("line"))).otherwise(line_key(F.col("line")))).drop("line")
     known = boilerplate(documents).select(F.col("host").alias("h"), F.col("key").alias("k"))
     judged = lines.join(known, (F.col("host") == F.col("h")) & (F.col("key") == F.col("k")), "left").withColumn("own", F.col("k").isNull())

@@ -41,6 +41,11 @@ def p3_ngrams(spark, sf_dir):
     return termfreq.gram_counts(termfreq.annotation_values(read(spark, sf_dir, "annotations")), max_n=termfreq.ALL)
 
 
+def p3_grams_to_4(spark, sf_dir):
+    """Of all n-grams those of up to four pieces."""
+    return p3_ngrams(spark, sf_dir).where("size <= 4")
+
+
 def p4_sentences(spark, sf_dir):
     """Sentence units of all passages: split, or as given where the text is null."""
     passages = read(spark, sf_dir, "passages")
@@ -101,11 +106,14 @@ def p9_clean(spark, sf_dir):
     return residue.without_residue(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_clean": p9_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams}
+QUERIES = {"p1_found": p1_found, "p1_repaired": p1_repaired, "p3_found": p3_found, "p4_found": p4_found, "p4_sentences": p4_sentences, "p9_found": p9_found, "p9_evidence": p9_evidence, "p9_clean": p9_clean, "p8_mix": p8_mix, "p8_shares": p8_shares, "p7_found": p7_found, "p7_leaks": p7_leaks, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_found": p6_found, "p6_consistent": p6_consistent, "p3_terms": p3_terms, "p3_ngrams": p3_ngrams, "p3_grams_to_4": p3_grams_to_4}
 
 _P3 = """
 WITH once AS (SELECT anno_key, min(text) AS term, arg_min(article_id, text) AS article_id FROM annotations WHERE text IS NOT NULL GROUP BY anno_key),
 terms AS (SELECT term, count(*) AS occurrences, count(DISTINCT article_id) AS articles FROM once GROUP BY term),
 marked AS (SELECT term, occurrences, articles, CASE WHEN articles < 3 THEN 'rare' WHEN articles > 0.05 * (SELECT count(DISTINCT article_id) FROM annotations WHERE text IS NOT NULL) THEN 'common' ELSE 'useful' END AS mark FROM terms)
 """
-ORACLE = {"p3_found": _P3 + "SELECT term, mark FROM marked WHERE mark <> 'useful'", "p3_terms": _P3 + "SELECT * FROM marked"}
+ORACLE = {"p3_found": _P3 + "SELECT term, mark FROM marked WHERE mark <> 'useful'", "p3_terms": _P3 + "SELECT * FROM marked", "p3_grams_to_4": _P3 + r"""
+, cut AS (SELECT article_id, regexp_extract_all(term, '(\p{Nd}+|[\p{L}\p{M}\p{Nl}\p{No}]+|[^\s\p{L}\p{M}\p{N}])', 1) AS p FROM once),
+spots AS (SELECT article_id, p, n, unnest(generate_series(1, length(p) - n + 1)) AS i FROM cut, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE length(p) >= n)
+SELECT array_to_string(p[i:i + n - 1], ' ') AS gram, CAST(n AS INTEGER) AS size, count(*) AS occurrences, count(DISTINCT article_id) AS records FROM spots GROUP BY 1, 2"""}

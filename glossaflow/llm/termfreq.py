@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 BEGIN, END, GAP = "\x02", "\x03", "\x01"
 #: As ``max_n``: grams of any number of pieces.
 ALL = 0
+#: Pieces of the inner suffixes where only whole values are asked for.
+INNER = 64
 _ROWS = "gram string, size int, occurrences bigint, records bigint, record string"
 
 
@@ -28,27 +30,35 @@ def unescape(c: Column) -> Column:
     return c
 
 
-def suffixes(values: DataFrame, max_n: int | None) -> DataFrame:
+def suffixes(values: DataFrame, max_n: int = ALL, whole: bool = False) -> DataFrame:
     """(suffix, record, weight) of values (record, value, weight), equal ones summed before any shuffle.
 
-    Without ``max_n`` a value is one piece and has one suffix. With it, a value is cut into words, numbers and single
-    other signs, and has one suffix for each of them, cut after ``max_n`` pieces, or to the end of the value if that is ALL.
+    A value is cut into words, numbers and single other signs, and has one suffix for each of them, cut after ``max_n``
+    pieces, or to the end of the value if that is ALL. With ``whole`` pieces keep the blanks before them, the first one
+    carries BEGIN and the last one END, so that a value is the gram from one to the other; the suffix at BEGIN is never
+    cut, the others are cut after INNER pieces, as only grams of whole values are asked for.
     """
-    if max_n is None:
-        pieces = values.select("record", "weight", F.concat(F.lit(BEGIN), escape(F.col("value")), F.lit(END)).alias("suffix"))
+    word = r"\p{Nd}+|[\p{L}\p{M}\p{Nl}\p{No}]+|[^\s\p{L}\p{M}\p{N}]"
+    if whole:
+        cut = values.select("record", "weight", F.regexp_extract_all(escape(F.col("value")), F.lit(rf"(\s*+(?:{word})|\s+)"), 1).alias("bare"))
+        last = F.size("bare") - 1
+        signed = F.transform("bare", lambda w, i: F.concat(F.when(i == 0, BEGIN).otherwise(""), w, F.when(i == last, END).otherwise("")))
+        cut = cut.select("record", "weight", F.when(last < 0, F.array(F.lit(BEGIN + END))).otherwise(signed).alias("words"))
+        length = lambda i: F.when(i == 0, F.size("words")).otherwise(INNER)
     else:
-        words = F.regexp_extract_all(F.translate("value", GAP + BEGIN + END + "\x04", "    "), F.lit(r"(\p{Nd}+|[\p{L}\p{M}\p{Nl}\p{No}]+|[^\s\p{L}\p{M}\p{N}])"), 1)
-        cut = values.select("record", "weight", words.alias("words")).select("record", "weight", "words", F.posexplode("words").alias("at", "word"))
-        pieces = cut.select("record", "weight", F.array_join(F.slice("words", F.col("at") + 1, F.size("words") if max_n == ALL else F.lit(max_n)), GAP).alias("suffix"))
+        cut = values.select("record", "weight", F.regexp_extract_all(F.translate("value", GAP + BEGIN + END + "\x04", "    "), F.lit(f"({word})"), 1).alias("words"))
+        length = lambda i: F.size("words") if max_n == ALL else F.lit(max_n)
+    ends = F.transform("words", lambda _, i: F.array_join(F.slice("words", i + 1, length(i)), GAP))
+    pieces = cut.select("record", "weight", F.explode(ends).alias("suffix"))
     return pieces.groupBy("suffix", "record").agg(F.sum("weight").alias("weight"))
 
 
-def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _intervals(batches: Iterator[pa.RecordBatch], whole: bool = False) -> Iterator[pa.RecordBatch]:
     """Closed common-prefix intervals of one stretch of the suffix array; those that may go on in the next or come from the last stretch give their records as rows.
 
     The stack holds one open interval per length. The records of the interval that began at place s are those seen last
     at or after s; its number of records is its number of (suffix, record) rows less the rows whose record was seen at
-    or after s before (the duplicate adjacencies).
+    or after s before (the duplicate adjacencies). With ``whole`` only the intervals of whole values are given out.
     """
     out: list[tuple] = []
     stack: list[list] = []  # of [begin, occurrences, rows, duplicates], at index size - 1
@@ -60,8 +70,10 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while len(stack) > keep:
             begin, occurrences, rows, duplicates = stack.pop()
             size = len(stack) + 1
-            gram = GAP.join(pieces[:size])
-            if begin == 0 or final:
+            gram = GAP.join(pieces[:size]) if not whole or (pieces[0][0] == BEGIN and pieces[size - 1][-1] == END) else None
+            if gram is None:
+                pass
+            elif begin == 0 or final:
                 out.append((gram, size, occurrences, None, None))
                 out.extend((gram, size, None, None, r) for r, p in last.items() if p >= begin and r is not None)
             else:
@@ -110,19 +122,20 @@ def _intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def gram_counts(values: DataFrame, max_n: int | None = None, partitions: int | None = None) -> DataFrame:
+def gram_counts(values: DataFrame, max_n: int = ALL, whole: bool = False, partitions: int | None = None) -> DataFrame:
     """(gram, size, occurrences, records): how often each n-gram occurs in ``values`` (record, value, weight) and in how many records.
 
-    Null values are left out; null records count as occurrences only; an empty value is a value. With ``max_n`` grams of
-    1 to ``max_n`` pieces, or of any number if it is ALL, are counted (pieces joined by a blank), else whole values. The suffix array is sorted over all
-    partitions by (suffix, record); an n-gram that a border of partitions may cut is put together from its parts by its
-    distinct records, every other comes out of one interval.
+    Null values are left out; null records count as occurrences only; an empty value has no gram but is a whole value. Grams
+    of 1 to ``max_n`` pieces, or of any number if it is ALL, are counted (pieces joined by a blank), with ``whole`` those
+    that are a whole value, exactly as it is. The suffix array is sorted over all partitions by (suffix, record); an n-gram
+    that a border of partitions may cut is put together from its parts by its distinct records, every other comes out of
+    one interval.
     """
     spark = values.sparkSession
-    rows = suffixes(values.where(F.col("value").isNotNull()), max_n)
+    rows = suffixes(values.where(F.col("value").isNotNull()), max_n, whole)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.select("suffix", "record", "weight").repartitionByRange(n, "suffix", "record").sortWithinPartitions("suffix", "record").mapInArrow(_intervals, _ROWS)
-    whole = parts.where("records is not null").select("gram", "size", "occurrences", "records")
+    parts = rows.select("suffix", "record", "weight").repartitionByRange(n, "suffix", "record").sortWithinPartitions("suffix", "record").mapInArrow(lambda batches: _intervals(batches, whole), _ROWS)
+    inner = parts.where("records is not null").select("gram", "size", "occurrences", "records")
     cut = (
         parts.where("records is null")
         .groupBy("gram", "size", "record")
@@ -130,10 +143,10 @@ def gram_counts(values: DataFrame, max_n: int | None = None, partitions: int | N
         .groupBy("gram", "size")
         .agg(F.sum("occurrences").alias("occurrences"), F.count("record").alias("records"))
     )
-    counted = whole.unionByName(cut)
-    if max_n is None:
-        text = F.col("gram").substr(F.lit(2), F.length("gram") - 2)
-        return counted.select(unescape(text).alias("gram"), "size", "occurrences", "records")
+    counted = inner.unionByName(cut)
+    if whole:
+        text = F.replace("gram", F.lit(GAP), F.lit(""))
+        return counted.select(unescape(text.substr(F.lit(2), F.length(text) - 2)).alias("gram"), "size", "occurrences", "records")
     return counted.select(F.replace("gram", F.lit(GAP), F.lit(" ")).alias("gram"), "size", "occurrences", "records")
 
 
@@ -146,9 +159,9 @@ def annotation_values(annotations: DataFrame) -> DataFrame:
 
 
 def term_frequencies(annotations: DataFrame, least: int = 3, most: float = 0.05) -> DataFrame:
-    """(term, occurrences, articles, mark) of every distinct text as stored; mark 'rare' under ``least`` articles, else 'common' over ``most`` of the articles that have a text, else 'useful'."""
+    """(term, occurrences, articles, mark) of every distinct text as stored, the grams from begin to end of a text in the suffix array; mark 'rare' under ``least`` articles, else 'common' over ``most`` of the articles that have a text, else 'useful'."""
     total = annotations.where("text is not null").agg(F.countDistinct("article_id").alias("total"))
-    counts = gram_counts(annotation_values(annotations))
+    counts = gram_counts(annotation_values(annotations), whole=True)
     return counts.select(
         F.col("gram").alias("term"),
         "occurrences",

@@ -25,8 +25,8 @@ def brute(values, max_n):
 def test_equals_brute_force(spark, max_n, parts):
     rng = random.Random(1)
     values = [(rng.choice(["a", "b", "c", "d", None]), " ".join(rng.choice("x y zz 1 - β".split()) for _ in range(rng.randrange(6))), rng.randrange(1, 3)) for _ in range(150)]
-    values += [("a", None, 1), ("a", "", 1), ("hot", "x y", 5), ("a", "w " * 3000, 1)] + ([("s", "\x01a\x02\x04d", 1)] if max_n is None else []) + [(f"r{k}", "hot value", 1) for k in range(40)]
-    got = termfreq.gram_counts(spark.createDataFrame(values, "record string, value string, weight long"), max_n, parts).collect()
+    values += [("a", None, 1), ("a", "", 1), ("hot", "x y", 5), ("a", "w " * 900, 1), ("b", "  two  blanks \t", 2), ("b", "two blanks", 1), ("c", " ", 1)] + ([("s", "\x01a\x02\x04d", 1)] if max_n is None else []) + [(f"r{k}", "hot value", 1) for k in range(40)]
+    got = termfreq.gram_counts(spark.createDataFrame(values, "record string, value string, weight long"), max_n or termfreq.ALL, max_n is None, parts).collect()
     assert {r.gram: (r.occurrences, r.records) for r in got} == brute(values, max_n)
     assert len(got) == len({r.gram for r in got})
 

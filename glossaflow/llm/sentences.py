@@ -35,16 +35,33 @@ MAY = {
 }
 #: Units of two parts that never end a sentence.
 PAIRS = regex.compile(r"(?i)(?<![^\W\d_])(?:z\. ?B|d\. ?h|u\. ?a|o\. ?ä|i\. ?d\. ?R|z\. ?T|p\. ?ex|p\. ?ej|c\.-à-d|т\. ?е|т\. ?к)\.$")
-CLOSERS = "\"'”’»)\\]}」』）】〉》〕›�"
+#: Signs of Sentence_Break class Close that close, not open, and what is left of lost ones.
+CLOSERS = "".join(c for c in map(chr, range(0x2FFFF)) if regex.match(r"\p{SB=Close}", c) and unicodedata.category(c) in ("Pe", "Pf")) + "\"'�"
 OPENERS = "\"'“‘„«([{「『（【〈《‹¿¡"
 
-_end = regex.compile(rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]+(?:[^\S\n]?[»›](?!\w)|[{CLOSERS}]|â€[\x80-\x9f™œ]?(?=\s|$))*")
+_closing = regex.escape(CLOSERS)
+#: A terminator with what Extend, Format and closing signs follow it.
+_end = regex.compile(rf"[\p{{SB=STerm}}\p{{SB=ATerm}}…]+(?:[^\S\n]?[»›](?!\w)|[{_closing}]|(?<=[\p{{SB=STerm}}\p{{SB=ATerm}}…])[\p{{SB=Extend}}\u200b]+(?=[{_closing}])|â€[\x80-\x9f™œ]?(?=\s|$))*")
+#: Behind a terminator, a sign of class SContinue, or a semicolon, goes on with the sentence.
+_continues = regex.compile(r"[\p{SB=SContinue};；]")
 _invisible = "­​-‏⁠﻿"
 _word_before = regex.compile(rf"[^\s(\[{{«“„\"—–…,;:/]*$")
 _thai_gap = regex.compile(rf"(?<=\p{{Thai}}[{_invisible}]*)\s+(?=[{_invisible}]*\p{{Thai}})")
 _lead = regex.compile(rf"[\s{_invisible}]*")
 _blank = regex.compile(r"\s*")
-_speech = regex.compile(r"^\s*[,，—–-]")
+_speech = regex.compile(r"\s*[,，—–-]")
+_initial = regex.compile(r"\p{L}\.")
+_year_or_name = regex.compile(r"\(\s*\p{Lu}")
+_unit = regex.compile(r"\d[^\S\n]?$")
+_after_ordinal = regex.compile(r"\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Messung|Woche|Tag|Monat|Jahr|Mal|Auflage|Kapitel)")
+_before_ordinal = regex.compile(r"(?:\b[Dd](?:er|ie|as|em|en|es)|\b[Aa]m|\b[Vv]om|\b[Zz]um|\b[Ii]m|\b[Bb]is)\s\d+$")
+_initials = regex.compile(r"(?:\p{L}\.)+\p{L}")
+_small_or_digit = regex.compile(r"[a-z0-9]")
+_coded = regex.compile(r"\p{Ll}\S*[\d\-–]")
+_thai = regex.compile(r"\p{Thai}")
+#: Marks that open and what closes them.
+PAIRED = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
+_mark = regex.compile("[“”„«»「」『』()（）\\[\\]]")
 
 #: Frequent words that tell the languages of Latin script apart, where a text names none.
 WORDS = {"en": "the of and with was in", "de": "der die das und bei mit von", "fr": "la le de du les une est", "es": "el la los en un de no", "pt": "o a os em um não com"}
@@ -55,14 +72,18 @@ _anywhere = frozenset(x for v in _never.values() for x in v) - {"nos", "ver", "r
 _may = {k: frozenset(v.split()) for k, v in MAY.items()}
 
 
+_scripts = [(k, regex.compile(p)) for k, p in (("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("th", r"\p{Thai}"), ("hi", r"\p{Devanagari}"), ("ru", r"\p{Cyrillic}{3}"))]
+_letters = regex.compile(r"\p{L}+")
+
+
 def language(text: str, named: str | None) -> str:
     """The language of ``text``: as named, else by its script and frequent words."""
     if named and (code := named.strip().lower()[:2]) in (*_never, "zh", "ja", "th"):
         return code
-    for code, script in (("ja", r"[\p{Hiragana}\p{Katakana}]"), ("zh", r"\p{Han}"), ("th", r"\p{Thai}"), ("hi", r"\p{Devanagari}"), ("ru", r"\p{Cyrillic}{3}")):
-        if regex.search(script, text):
+    for code, script in _scripts:
+        if script.search(text):
             return code
-    words = regex.findall(r"\p{L}+", text.lower())
+    words = _letters.findall(text.lower())
     return max(_hints, key=lambda k: (sum(w in _hints[k] for w in words), k == "en"))
 
 
@@ -74,39 +95,72 @@ _latin_twins = {ord(k): v for k, v in CYRILLIC.items()}
 
 def _plain(word: str) -> str:
     """``word`` as abbreviations are listed: without invisible characters, look-alikes and what precedes its alphabetic end."""
+    if word.isascii():
+        return _alphabetic_end.search(word).group()
     word = unicodedata.normalize("NFKC", _alphabetic_end.search(_not_alphabetic.sub("", _hidden.sub("", word))).group())
-    return word.translate(_latin_twins) if regex.search("[A-Za-z]", word) else word
+    return word.translate(_latin_twins) if any(c.isascii() and c.isalpha() for c in word) else word
 
 
 def _number_or_abbreviation(text: str, at: int, after: int, lang: str) -> bool:
-    """Whether the full stop at ``at`` belongs to a number, an abbreviation or an initial, so that no sentence ends before ``after``."""
-    before, behind = text[:at], text[at + 1 :]
-    if behind[:1].isdigit() and (not before or not before[-1].isalpha()):
+    """Whether the full stop at ``at`` belongs to a number, an abbreviation or an initial, so that no sentence ends before ``after``. Only the signs around it are read."""
+    before, behind = text[at - 1 : at] if at else "", text[at + 1 : at + 2]
+    if behind.isdigit() and not before.isalpha():
         return True
-    if behind[:1] in ("-", "‐", "‑") or (regex.match(r"\p{L}\.", behind) and regex.search(r"(?<!\p{L})\p{L}$", before)):
+    if behind in ("-", "‐", "‑") and behind or (before.isalpha() and not text[max(0, at - 2) : at - 1].isalpha() and _initial.match(text, at + 1)):
         return True
-    word = _plain(_word_before.search(before, max(0, at - 24)).group())
+    word = _plain(_word_before.search(text, max(0, at - 24), at).group())
     follow = text[after : after + 1]
     low = word.lower()
     if PAIRS.search(text[max(0, at - 10) : at + 1]):
         return True
     bare = low.rstrip(".")
     if bare in _may.get(lang, ()) or (lang not in _may and bare in _may["en"]):
-        if follow == "(" and not regex.match(r"\(\s*\p{Lu}", text[after:]):
+        if follow == "(" and not _year_or_name.match(text, after):
             return True
         return not (follow and (follow.isupper() or follow in OPENERS or follow.isdigit() and bare not in ("u.s", "e.u", "u.k", "г")))
     if bare in _never.get(lang, ()) or (len(bare) > 2 and bare in _anywhere):
         # units of one letter after a number end a sentence
-        return not (len(bare) == 1 and regex.search(r"\d[^\S\n]?$", before[: -len(bare)]))
-    if len(word) == 1 and word.isupper() and before[-2:-1] not in ("°", "º"):
+        return not (len(bare) == 1 and _unit.search(text, max(0, at - 3), at - 1))
+    if len(word) == 1 and word.isupper() and text[max(0, at - 2) : at - 1] not in ("°", "º"):
         return bool(follow) and (follow.islower() or lang == "fr" and word == "M")
     if lang == "de" and word.isdigit() and len(word) < 3:
-        return bool(regex.match(r"\s(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Messung|Woche|Tag|Monat|Jahr|Mal|Auflage|Kapitel)", text[at + 1 :])) or bool(
-            regex.search(r"(?:\b[Dd](?:er|ie|as|em|en|es)|\b[Aa]m|\b[Vv]om|\b[Zz]um|\b[Ii]m|\b[Bb]is)\s\d+$", before)
-        )
-    if regex.fullmatch(r"(?:\p{L}\.)+\p{L}", word):
+        return bool(_after_ordinal.match(text, at + 1) or _before_ordinal.search(text[max(0, at - 16) : at]))
+    if _initials.fullmatch(word):
         return not (follow and follow.isupper())
-    return bool(not behind[:1].isspace() and regex.match(r"[a-z0-9]", behind) and "." in word)
+    return bool(not behind.isspace() and _small_or_digit.match(behind) and "." in word)
+
+
+class Marks:
+    """The quotation marks and brackets of a text, paired in one pass; each open one is known while the text is read on."""
+
+    def __init__(self, text: str):
+        self.places = [(m.start(), m.group()) for m in _mark.finditer(text)]
+        self.closed: dict[int, int] = {}
+        open_: dict[str, list[int]] = {}
+        for at, c in self.places:
+            for mark, closing in PAIRED.items():
+                if c == closing and open_.get(mark):
+                    self.closed[open_[mark].pop()] = at
+                    break
+            else:
+                if c in PAIRED:
+                    open_.setdefault(c, []).append(at)
+        self.next, self.stack = 0, []
+
+    def opened(self, start: int, at: int) -> tuple[str, int] | None:
+        """(mark, place): the innermost mark within [start, at) that is still open at ``at``; places are asked for in order."""
+        while self.next < len(self.places) and self.places[self.next][0] < at:
+            place, c = self.places[self.next]
+            self.next += 1
+            if place < start:
+                continue
+            while self.stack and self.stack[-1][1] < start:
+                self.stack.pop()
+            if self.stack and c == PAIRED[self.stack[-1][0]]:
+                self.stack.pop()
+            elif c in PAIRED:
+                self.stack.append((c, place))
+        return self.stack[-1] if self.stack and self.stack[-1][1] >= start else None
 
 
 def sentence_spans(text: str, lang: str | None = None, title: bool = False) -> list[tuple[int, int]]:
@@ -120,19 +174,19 @@ def sentence_spans(text: str, lang: str | None = None, title: bool = False) -> l
     if title:
         return [(first, len(text.rstrip()))]
     lang = language(text, lang)
-    cuts = [m.end() for m in _thai_gap.finditer(text)] if regex.search(r"\p{Thai}", text) else []
-    start = first
+    cuts = [m.end() for m in _thai_gap.finditer(text)] if _thai.search(text) else []
+    start, marks = first, Marks(text)
     lost = set(encoding.lost_marks(text)) if "?" in text else ()
     for m in _end.finditer(text):
         if m.start() < start or m.start() in lost:
             continue
         stop = m.end()
-        if text[stop : stop + 1] == "“" and (opened := _opened(text, start, m.start())) is not None and opened[0] == "„":
+        if text[stop : stop + 1] == "“" and (opened := marks.opened(start, m.start())) is not None and opened[0] == "„":
             stop += 1
         after = _lead.match(text, stop).end()
         if after >= len(text):
             break
-        if _ends(text, start, m, stop, after, lang):
+        if _ends(text, start, m, stop, after, lang, marks):
             cuts.append(_blank.match(text, stop).end())
             start = cuts[-1]
     edges = sorted({first, *cuts})
@@ -140,31 +194,18 @@ def sentence_spans(text: str, lang: str | None = None, title: bool = False) -> l
     return [(a, b) for a, b in spans if b > a]
 
 
-def _opened(text: str, start: int, at: int) -> str | None:
-    """The opening quotation mark or bracket within [start, at) that is still open at ``at``."""
-    pairs = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]"}
-    stack: list[tuple[str, int]] = []
-    for i in range(start, at):
-        c = text[i]
-        if stack and c == pairs[stack[-1][0]]:
-            stack.pop()
-        elif c in pairs:
-            stack.append((c, i))
-    return stack[-1] if stack else None
-
-
-def _ends(text: str, start: int, m: regex.Match, stop: int, after: int, lang: str) -> bool:
+def _ends(text: str, start: int, m: regex.Match, stop: int, after: int, lang: str, marks: Marks) -> bool:
     mark, follow = text[m.start() : stop], text[after]
-    sign = mark.rstrip("\u00e2\u20ac\u2122\u0153\u201c \u00a0\u202f" + CLOSERS)
+    sign = mark.rstrip("\u00e2\u20ac\u2122\u0153\u201c \u00a0\u202f\u200b" + CLOSERS)
     closed = mark[len(sign) :].strip()
     gap = text[stop:after]
+    opened = marks.opened(start, m.start())
     if sign == "." and not closed and _number_or_abbreviation(text, m.start(), after, lang):
         return False
     if sign[-1] == "…" or sign == "...":
         return (follow.isupper() and bool(gap)) or "\n" in gap
-    if follow in CLOSERS.replace('"', "").replace("'", "").replace("“", "") or follow in ",;，；、":
+    if follow in CLOSERS and follow not in "\"'“" or _continues.match(follow):
         return False
-    opened = _opened(text, start, m.start())
     if closed:
         if opened is None:
             return True
@@ -172,9 +213,9 @@ def _ends(text: str, start: int, m: regex.Match, stop: int, after: int, lang: st
         lead = text[start:place].rstrip()
         if sort in "([（":
             return not lead or follow.isupper()
-        if _speech.match(text[stop:]):
+        if _speech.match(text, stop):
             return False
-        if follow.islower() and not regex.match(r"\p{Ll}\S*[\d\-–]", text[after:]) and lang not in ("zh", "ja", "th", "hi"):
+        if follow.islower() and not _coded.match(text, after) and lang not in ("zh", "ja", "th", "hi"):
             return bool(lead) and lead[-1] in ":：,，" and bool(gap)
         if lang in ("zh", "ja", "hi"):
             if lead and lead[-1] in ":：":
@@ -183,12 +224,9 @@ def _ends(text: str, start: int, m: regex.Match, stop: int, after: int, lang: st
                 return bool(gap) or lang == "zh" and sign[-1] in "。."
             return False
         return True
-    if opened is not None and opened[0] not in "([（":
-        # within a quotation: its sentences are parts of the whole one
-        closing = {"“": "”", "„": "“", "«": "»", "「": "」", "『": "』"}[opened[0]]
-        return closing not in text[stop : stop + 400]
     if opened is not None:
-        return ")" not in text[stop : stop + 200] and "）" not in text[stop : stop + 200]
+        # within a quotation or bracket that closes further on: its sentences are parts of the whole one
+        return marks.closed.get(opened[1], -1) < stop
     return True
 
 
@@ -246,9 +284,7 @@ def sentences(passages: DataFrame) -> DataFrame:
 
 
 def _is_title(passages: DataFrame):
-    kind = F.element_at("infons", F.lit("type"))
-    short = F.length("text") < 250
-    return F.coalesce(F.lower(kind) == "title", (F.col("passage_offset") == 0) & short, F.lit(False))
+    return F.coalesce(F.lower(F.element_at("infons", F.lit("type"))) == "title", F.lit(False))
 
 
 def given_sentences(passages: DataFrame) -> DataFrame:

@@ -40,10 +40,38 @@ def test_garbled_text_keeps_its_places():
 
 
 def test_rows(spark):
-    rows = [(1, 5, " One. Two.", "en", {"type": "abstract"}, None, 0), (1, 5, " One. Two.", "en", {"type": "abstract"}, None, 0), (2, 0, "Title. x", None, None, None, 0), (3, 9, None, "en", None, [(9, "Given. "), (16, "S.")], 0), (4, None, "", None, None, None, 0), (5, None, "a. " * 20_000, "en", None, None, 0)]
+    rows = [(1, 5, " One. Two.", "en", {"type": "abstract"}, None, 0), (1, 5, " One. Two.", "en", {"type": "abstract"}, None, 0), (2, 0, "Title. x", None, {"type": "Title"}, None, 0), (3, 9, None, "en", None, [(9, "Given. "), (16, "S.")], 0), (4, None, "", None, None, None, 0), (5, None, "a. " * 20_000, "en", None, None, 0)]
     df = spark.createDataFrame(rows, "passage_id long, passage_offset int, text string, lang string, infons map<string,string>, sentences array<struct<char_offset int, text string>>, char_offset int")
     got = S.sentences(df)
     assert sorted((r.passage_id, r.char_offset, r.text) for r in got.where("passage_id < 5").collect()) == [(1, 6, "One."), (1, 11, "Two."), (2, 0, "Title. x")]
     assert got.where("passage_id = 5").count() == 20_000
     assert sorted((r.char_offset, r.text) for r in S.given_sentences(df).collect()) == [(9, "Given."), (16, "S.")]
     assert got.where(F.lit(False)).count() == 0
+
+
+def test_marks_are_paired_over_any_distance():
+    """A full stop within a quotation or bracket ends nothing, however far away it closes; one that never closes holds nothing."""
+    inner = "It was seen. " * 60
+    for a, b in (("“", "”"), ("(", ")"), ("„", "“")):
+        text = f"They wrote {a}{inner.strip()}{b} then. End here."
+        assert [text[x:y] for x, y in S.sentence_spans(text, "en")][-1] == "End here." and len(S.sentence_spans(text, "en")) == 2
+    assert len(S.sentence_spans(f"They wrote (see {inner}", "en")) == 60
+
+
+def test_short_passages_without_a_type_are_split(spark):
+    row = [(1, 0, "One is here. Two is there.", "en", None)]
+    df = spark.createDataFrame(row, "passage_id long, passage_offset int, text string, lang string, infons map<string,string>")
+    assert S.sentences(df).count() == 2
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    def took(n):
+        text = "We saw (cf. Fig. 3) “much of it” in 2.5 ml. " * n
+        began = time.process_time()
+        assert len(S.sentence_spans(text, "en")) == n
+        return time.process_time() - began
+
+    took(100)
+    assert took(50_000) < 40 * max(took(5_000), 0.05)

@@ -48,7 +48,7 @@ _ODD = [
     (1, re.compile("[ŠšŽžŸÐðÞþƒˆ˜]")),
     (1, re.compile("(?<![^\\s(])[ÈÒÓÔÙÛÊË](?![^\\s,.;:!?)])|(?<![^\\s(])[ÒÔ](?=[a-z])|(?<![^\\s(])ô(?=[a-z])|(?<=[a-z])[ÓÕö](?![^\\s,.;:!?)])|(?<![^\\s(])ô(?=[A-Z])|(?<=[.,!?])[öÓÒÈÕ](?!\\w)|(?<=[A-Za-z])Æ(?=[a-z])")),
     (0.06, re.compile("[òìùëõåøæÿýÌÙÒÏËØÓÔÕÈÊÚÛ]")),
-    (1.5, re.compile("(?<![^\\s(])[‹¸ⁿ∙⌠∩ΘΦΣ](?=[a-z])|(?<=[A-Za-zà-ÿ])[ΘΦΣΓΩ⌠∩∙ⁿτεδ](?=[a-zà-ÿ])|(?<=[a-zß-ÿ])[一-鿿぀-ヿ](?=[a-zß-ÿ])|[a-z][а-яЀ-Џѐ-џ]|[а-яЀ-Џѐ-џ][a-z]")),
+    (1.5, re.compile("(?<![^\\s(])[‹¸ⁿ∙⌠∩ΘΦΣ](?=[a-z])|(?<=[A-Za-zà-ÿ])[ΘΦΣΓΩ⌠∩∙ⁿτεδ](?=[a-zà-ÿ])|(?<=[a-zß-ÿ])[一-鿿぀-ヿ](?=[a-zß-ÿ])|[a-zA-Z][Ѐ-џ]|[Ѐ-џ][a-zA-Z]")),
     (1, re.compile("(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[—–](?=[\\s,.])|(?<=[.,!?])[À-ÿ](?!\\w)|(?<![^\\s(])[à-ÿ](?=[A-Z])")),
     (0.1, re.compile("(?<=[А-ЯЁ])[А-ЯЁ](?=[А-ЯЁ])")),
     (1, re.compile("[¿¡](?=[\\s,.;:)])|(?<=[a-z])[¿¡]|(?<![^\\s(])[żˇ](?=[A-Z])")),

@@ -65,12 +65,18 @@ def _deviates(text: str) -> bool:
     return unicodedata.normalize("NFC", bare) != bare
 
 
-def suspects(text: str) -> list[tuple[str, str, str]]:
-    """(token, form with its look-alikes replaced, kind) of the tokens of a text in basic form that may hold look-alikes.
+def dominant(token: str) -> str:
+    """The script that most letters of a token are of: 'Latin', 'Cyrillic' or 'Greek'; of equal ones the first of these."""
+    counts = {name: sum(bool(p.match(c)) for c in token) for name, p in (("Latin", _lat), ("Cyrillic", _cyr), ("Greek", _gre))}
+    return max(counts, key=counts.get)
 
-    kind 'mixed': Latin and Cyrillic letters in a word, where those of one script all have a twin in the other. kind
-    'greek': Greek twins in a word of Latin letters, or a word of them alone. kind 'whole': a word of Cyrillic twins
-    alone. The last two need the corpus vocabulary.
+
+def suspects(text: str) -> list[tuple[str, str, str | None, str]]:
+    """(token, form with its look-alikes replaced, form in the other script, kind) of the tokens of a text in basic form that may hold look-alikes.
+
+    kind 'mixed': Latin and Cyrillic letters in a word, where those of one script all have a twin in the other; if those of
+    both have, the form is that of the token's dominant script. kind 'greek': Greek twins in a word of Latin letters, or
+    a word of them alone. kind 'whole': a word of Cyrillic twins alone in a text with Russian words, 'lone' in one without.
     """
     if not (_cyr.search(text) or _gre.search(text)):
         return []
@@ -84,17 +90,18 @@ def suspects(text: str) -> list[tuple[str, str, str]]:
         gre = [c for c in token if _gre.match(c)]
         lat = [c for c in token if _lat.match(c)]
         if cyr and lat:
-            if all(c in CYRILLIC for c in cyr):
-                out.append((token, "".join(CYRILLIC.get(c, GREEK.get(c, c) if c in "ο" else c) for c in token), "mixed"))
-            elif all(c in RUSSIAN for c in lat):
-                out.append((token, "".join(RUSSIAN.get(c, c) for c in token), "mixed"))
+            latin = "".join(CYRILLIC.get(c, GREEK.get(c, c) if c in "ο" else c) for c in token) if all(c in CYRILLIC for c in cyr) else None
+            russian = "".join(RUSSIAN.get(c, c) for c in token) if all(c in RUSSIAN for c in lat) else None
+            forms = [f for f in ((russian, latin) if dominant(token) == "Cyrillic" else (latin, russian)) if f]
+            if forms:
+                out.append((token, forms[0], forms[1] if len(forms) > 1 else None, "mixed"))
         elif cyr and all(c in CYRILLIC for c in cyr) and not gre:
-            out.append((token, "".join(CYRILLIC.get(c, c) for c in token), "whole" if native else "lone"))
+            out.append((token, "".join(CYRILLIC.get(c, c) for c in token), None, "whole" if native else "lone"))
         elif cyr and gre and all(c in CYRILLIC for c in cyr):
-            out.append((token, "".join(CYRILLIC.get(c, c) for c in token), "mixed"))
+            out.append((token, "".join(CYRILLIC.get(c, c) for c in token), None, "mixed"))
         elif gre and any(c in GREEK for c in gre):
             new = "".join(GREEK.get(c, c) for c in token)
-            out.append((token, new, "mixed" if "ο" in token and lat and all(c in GREEK for c in gre) and token.lower().count("ο") else "greek"))
+            out.append((token, new, None, "mixed" if "ο" in token and lat and all(c in GREEK for c in gre) and token.lower().count("ο") else "greek"))
     return out
 
 
@@ -113,7 +120,7 @@ def marred(text: str) -> set[str]:
     return out
 
 
-_FORMS = "table_name string, row_key bigint, form string, deviates boolean, tokens array<struct<token:string,form:string,kind:string>>"
+_FORMS = "table_name string, row_key bigint, form string, deviates boolean, tokens array<struct<token:string,form:string,alt:string,kind:string>>"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +135,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 beside = marred(sound) | marred(text)
                 tokens = [t for t in tokens if t[0] not in beside]
             if deviates or tokens or form != text:
-                rows.append((table, key, form, deviates, [{"token": t, "form": f, "kind": k} for t, f, k in dict.fromkeys(tokens)]))
+                rows.append((table, key, form, deviates, [{"token": t, "form": f, "alt": o, "kind": k} for t, f, o, k in dict.fromkeys(tokens)]))
         yield pd.DataFrame(rows, columns=["table_name", "row_key", "form", "deviates", "tokens"])
 
 
@@ -151,29 +158,34 @@ def vocabulary(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def confirmed(texts: DataFrame, scan: DataFrame) -> DataFrame:
-    """(table_name, row_key, token, form): the suspect tokens that are look-alikes.
-
-    Mixed Latin and Cyrillic words always are, as no ordinary word mixes them, and lone words of Cyrillic twins in
-    texts without Russian words too. A word with Greek twins is one unless the corpus vocabulary has it with a small
-    Greek letter (a name in capitals) and not its replaced form; a word of Cyrillic twins in a Russian text is one if
-    the vocabulary has its replaced form more often than Russian texts have the word.
+    """(table_name, row_key, token, form): the suspect tokens that are look-alikes, each with the form that the corpus vocabulary confirms.
+
+    The vocabulary is asked for every token. Of a mixed word with twins in both directions the form that it has more often
+    is taken, and that of the dominant script if it has both as often; a mixed word is replaced even if the vocabulary has
+    neither form, as no ordinary word mixes scripts and many names occur only once. A word with Greek twins is one unless
+    the vocabulary has it with a small Greek letter (a name in capitals) and not its replaced form; a word of Cyrillic
+    twins in a Russian text is one if the vocabulary has its replaced form more often than Russian texts have the word,
+    and in another text unless Russian texts have it more often than any text its replaced form.
     """
     tokens = scan.select("table_name", "row_key", F.explode("tokens").alias("t")).select("table_name", "row_key", "t.*")
-    sure = tokens.where("kind in ('mixed', 'lone')").select("table_name", "row_key", "token", "form")
-    asked = tokens.where("kind in ('greek', 'whole')")
-    forms = asked.select("token", "form", "kind").distinct()
-    wanted = forms.select(F.lower("form").alias("word")).unionByName(forms.select(F.lower("token").alias("word")))
+    asked = tokens.select("token", "form", "alt", "kind").distinct()
+    wanted = asked.select(F.explode(F.array("token", "form", "alt")).alias("word")).where("word is not null").select(F.lower("word").alias("word"))
     words = checkpointed(vocabulary(texts, wanted))
-    good = (
-        forms.join(words.select(F.col("word").alias("w1"), F.col("n").alias("n_form")), F.lower("form") == F.col("w1"), "left")
-        .join(words.select(F.col("word").alias("w2"), F.col("n").alias("n_token"), F.col("native").alias("n_native"), F.col("small_greek")), F.lower("token") == F.col("w2"), "left")
-        .where(
-            F.when(F.col("kind") == "greek", (F.coalesce(F.col("small_greek"), F.lit(0)) == 0) | (F.col("n_form") > F.col("n_token")))
-            .otherwise((F.length("token") > 1) & (F.col("n_form") > 4 * F.coalesce(F.col("n_native"), F.lit(0))))
-        )
-        .select("token", "form", "kind")
-    )
-    return sure.unionByName(asked.join(good, ["token", "form", "kind"], "left_semi").select("table_name", "row_key", "token", "form"))
+
+    def known(column: str) -> DataFrame:
+        return words.select(F.col("word").alias(f"w_{column}"), F.col("n").alias(f"n_{column}"), F.col("native").alias(f"native_{column}"), F.col("small_greek").alias(f"greek_{column}"))
+
+    judged = asked
+    for column in ("token", "form", "alt"):
+        judged = judged.join(known(column), F.lower(column) == F.col(f"w_{column}"), "left")
+    n = lambda c: F.coalesce(c, F.lit(0))
+    good = judged.where(
+        F.when(F.col("kind") == "mixed", True)
+        .when(F.col("kind") == "greek", (n("greek_token") == 0) | (F.col("n_form") > F.col("n_token")))
+        .when(F.col("kind") == "whole", (F.length("token") > 1) & (F.col("n_form") > 4 * n("native_token")))
+        .otherwise((F.length("token") == 1) | (n("native_token") <= n("n_form")))
+    ).select("token", F.col("form").alias("first_form"), "kind", F.when(n("n_alt") > n("n_form"), F.col("alt")).otherwise(F.col("form")).alias("form"))
+    return tokens.withColumnRenamed("form", "first_form").join(good, ["token", "first_form", "kind"]).select("table_name", "row_key", "token", "form")
 
 
 def consistent(texts: DataFrame) -> DataFrame:

@@ -32,3 +32,11 @@ def test_letters_by_vocabulary(spark):
 def test_garbled_is_no_case(spark):
     rows = [("passages", 1, "GrÃ¶Ã\x9fe Ã  5"), ("passages", 2, "РІРѕР·СЂР°СЃС‚")]
     assert L.consistent(spark.createDataFrame(rows, "table_name string, row_key long, text string")).where("found").count() == 0
+
+
+def test_dominant_script_and_vocabulary_decide(spark):
+    """A word with twins in both directions takes the form that the corpus has, else that of its dominant script."""
+    assert [L.dominant(x) for x in ("cахар", "саxap", "abс", "GDΑ")] == ["Cyrillic", "Latin", "Latin", "Latin"]
+    rows = [("passages", 1, "сладкий cахар"), ("passages", 2, "сахар и сахар были"), ("passages", 3, "the соре of it"), ("passages", 4, "cope cope"), ("passages", 5, "новый cухосох"), ("passages", 6, "a раceр")]
+    got = {r.row_key: r.form for r in L.consistent(spark.createDataFrame(rows, "table_name string, row_key long, text string")).where("found").collect()}
+    assert got == {1: "сладкий сахар", 3: "the cope of it", 5: "новый сухосох", 6: "a расер"}

@@ -16,8 +16,6 @@ from glossaflow.session import checkpointed
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Bits of the hash that one histogram resolves, and histograms until single documents are told apart.
 BITS, LEVELS = 8, 6
-#: Sources at most, which bounds what the driver sees of a histogram.
-MAX_SOURCES = 10_000
 #: Fixed value. The pre-tokenization of byte-level BPE of 50k tokens, as published with it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,7 +50,7 @@ def budgets(totals: dict[str, int], targets: list[tuple[str, float, int]], size:
 
 
 def thresholds(counted: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
-    """Per source the threshold under which the hashes of its documents sum to at most ``wanted`` tokens, and to more with the next document.
+    """Per source the threshold under which the hashes of its documents sum to ``wanted`` tokens as nearly as the order of the hashes allows: the document that goes over it is taken if that is nearer.
 
     A histogram by the first BITS bits of the hash gives the bucket that holds the threshold; only that bucket is
     refined by the next bits. Documents that agree in all bits stay or go together.
@@ -72,7 +70,8 @@ def thresholds(counted: DataFrame, wanted: dict[str, int]) -> dict[str, int]:
             edge = (base[s] >> shift) + (1 << BITS) - 1 if level else (1 << BITS) - 1
             for bucket, tokens in sorted(by.get(s, [])):
                 if tokens > left[s]:
-                    edge = bucket
+                    # at the last level the bucket is one document, or documents that agree in all bits
+                    edge = bucket + 1 if level == LEVELS - 1 and tokens - left[s] < left[s] else bucket
                     break
                 left[s] -= tokens
             else:
@@ -90,11 +89,9 @@ def mixed(documents: DataFrame, targets: DataFrame, size: int | None = None, see
     tokens, actual_share). A source is used whole as often as its budget allows, then once more the documents with
     hashes under its threshold; no document is used more than max_repeats times. Without ``size`` the mix is as large as
     the scarcest source permits. Documents without a source or text are in no mix; a target without documents reaches
-    0, and the other sources keep their proportions. The same text under several doc_ids counts each time.
+    0, and the other sources keep their proportions. The targets are a specification, held by the driver. The same text under several doc_ids counts each time.
     """
-    rows = targets.where("source_name is not null").groupBy("source_name").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = targets.where("source_name is not null").groupBy("source_name").agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("most")).collect()
     names = [r.source_name for r in rows]
     spark = documents.sparkSession
     if not names:

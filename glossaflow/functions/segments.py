@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 _CUT = "\x00"
 #: A sentence ends after closing signs and blanks unless a small letter follows; the blanks belong to it.
@@ -33,8 +36,13 @@ def given_lines(text: Column) -> Column:
 
 
 def starts(parts: Column) -> Column:
-    """Where each of some parts begins in their concatenation."""
-    return F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, x: a + F.length(x)))
+    """Where each of some parts begins in their concatenation: one running sum of their lengths."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def sums(lengths: pd.Series) -> pd.Series:
+        return lengths.map(lambda x: x if x is None else np.cumsum(x) - x)
+
+    return sums(F.transform(parts, F.length))
 
 
 def explode_parts(df: DataFrame, parts: Column, number: str, start: str | None = None) -> DataFrame:

@@ -26,7 +26,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_table(entity: str):
-    return lambda spark, sf_dir: shredding.flat_tables(read(spark, sf_dir, "bioc_raw"))[entity]
+    def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+        adjacent = shredding.adjacency(read(spark, sf_dir, "bioc_raw"))
+        return shredding.infon_table(adjacent) if entity == "infon" else shredding.entity_table(adjacent, entity)
+
+    return table
 
 
 QUERIES = {"p2_found": p2_found, "p2_orphans": p2_orphans, "p2_report": p2_report, "p5_found": p5_found} | {f"p5_{e}s": p5_table(e) for e in [*shredding.FIELDS, "infon"]}

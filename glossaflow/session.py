@@ -23,9 +23,15 @@ def spread(df: DataFrame, per_core: int = 3) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
-def spread_shuffled(df: DataFrame, per_core: int = 3) -> DataFrame:
-    """spread() of a frame behind a shuffle, whose partitions adaptive execution would merge by bytes. It is not asked for its partitions, as that would run the shuffle."""
+def spread_shuffled(df: DataFrame, scan: DataFrame | None = None, per_core: int = 3) -> DataFrame:
+    """spread() of a frame behind a shuffle of ``scan``, whose partitions adaptive execution would merge by bytes.
+
+    It is not asked for its partitions, as that would run the shuffle. Where ``scan`` itself has partitions enough, what is
+    shuffled once has them too, and is left as it is.
+    """
     spark = df.sparkSession
+    if scan is not None and scan.rdd.getNumPartitions() >= per_core * spark.sparkContext.defaultParallelism:
+        return df
     return df.repartition(max(per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 

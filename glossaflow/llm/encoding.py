@@ -48,7 +48,7 @@ _ODD = [
     (1, re.compile("[ŠšŽžŸÐðÞþƒˆ˜]")),
     (1, re.compile("(?<![^\\s(])[ÈÒÓÔÙÛÊË](?![^\\s,.;:!?)])|(?<![^\\s(])[ÒÔ](?=[a-z])|(?<![^\\s(])ô(?=[a-z])|(?<=[a-z])[ÓÕö](?![^\\s,.;:!?)])|(?<![^\\s(])ô(?=[A-Z])|(?<=[.,!?])[öÓÒÈÕ](?!\\w)|(?<=[A-Za-z])Æ(?=[a-z])")),
     (0.06, re.compile("[òìùëõåøæÿýÌÙÒÏËØÓÔÕÈÊÚÛ]")),
-    (1.5, re.compile("(?<![^\\s(])[‹¸ⁿ∙⌠∩ΘΦΣ](?=[a-z])|(?<=[A-Za-zà-ÿ])[ΘΦΣΓΩ⌠∩∙ⁿτεδ](?=[a-zà-ÿ])|(?<=[a-zß-ÿ])[一-鿿぀-ヿ](?=[a-zß-ÿ])|[a-zA-Z][Ѐ-џ]|[Ѐ-џ][a-zA-Z]")),
+    (1.5, re.compile("(?<![^\\s(])[‹¸ⁿ∙⌠∩ΘΦΣ](?=[a-z])|(?<=[A-Za-zà-ÿ])[ΘΦΣΓΩ⌠∩∙ⁿτεδ](?=[a-zà-ÿ])|(?<=[a-zß-ÿ])[一-鿿぀-ヿ](?=[a-zß-ÿ])")),
     (1, re.compile("(?<=[а-яё])[А-ЯЁ]|(?<=[a-z])[—–](?=[\\s,.])|(?<=[.,!?])[À-ÿ](?!\\w)|(?<![^\\s(])[à-ÿ](?=[A-Z])")),
     (0.1, re.compile("(?<=[А-ЯЁ])[А-ЯЁ](?=[А-ЯЁ])")),
     (1, re.compile("[¿¡](?=[\\s,.;:)])|(?<=[a-z])[¿¡]|(?<![^\\s(])[żˇ](?=[A-Z])")),
@@ -56,6 +56,10 @@ _ODD = [
 ]
 
 
+#: Cyrillic beside Latin letters: a cost, but no reason to suspect a text, as look-alike words have it too.
+_mixed = re.compile("[a-zA-Z][Ѐ-џ]|[Ѐ-џ][a-zA-Z]")
+
+
 @cache
 def _to_char(encoding: str) -> dict[int, str]:
     """Characters of the bytes from 0x80; bytes that the encoding doesn't know are C1 controls, as lenient decoders have it."""
@@ -143,7 +147,7 @@ def cost(text: str) -> float:
     """The garbling cost of ``text``: its letters and signs that are out of place, and what can be read as UTF-8, weighted, and a little for each non-ASCII character."""
     if text.isascii():
         return 0.0
-    return len(_layered().findall(text)) + sum(w * len(p.findall(text)) for w, p in _ODD) + sum(n * _char_cost(c) for c, n in Counter(text).items() if c > "\x7f")
+    return len(_layered().findall(text)) + 1.5 * len(_mixed.findall(text)) + sum(w * len(p.findall(text)) for w, p in _ODD) + sum(n * _char_cost(c) for c, n in Counter(text).items() if c > "\x7f")
 
 
 def _sound_run(run: str, new: str, before: str, after: str, encoding: str) -> bool:

@@ -7,13 +7,15 @@ import gzip
 import io
 import os
 import tarfile
+import zlib
 from collections.abc import Iterator
-from itertools import groupby
 from xml.etree import ElementTree as ET
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from glossaflow.functions import segments
@@ -46,26 +48,53 @@ def read_txt_json(spark: SparkSession, path: str, single: bool = False) -> DataF
     return _plain(rows.select(F.col("id").alias("doc_id"), "text"), single)
 
 
+def from_txt_json(bodies: DataFrame, single: bool = False) -> DataFrame:
+    """read_txt_json() of rows (body)."""
+    items = bodies.select(F.explode(F.from_json("body", "array<struct<id:string,text:string>>")).alias("x"))
+    return _plain(items.select(F.col("x.id").alias("doc_id"), "x.text"), single)
+
+
 def read_txt_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Sections of tab-separated files of id and text with a header; each text is one section."""
     rows = spark.read.csv(path, sep="\t", header=True, quote='"', escape='"', multiLine=True, schema="doc_id string, text string", enforceSchema=True)
     return _plain(rows, True)
 
 
-def _parsed(spark: SparkSession, path: str, parse, schema: str) -> DataFrame:
-    """Rows that ``parse`` (path, bytes) gives for each file."""
+#: What broken files raise.
+BROKEN = (ET.ParseError, tarfile.TarError, OSError, EOFError, zlib.error, UnicodeDecodeError, ValueError, KeyError, TypeError, AttributeError)
+
+
+def contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of files, as bytes."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def _parsed(files: DataFrame, parse, schema: str, skip_broken: bool = False) -> DataFrame:
+    """Rows that ``parse`` (path, bytes) gives for each of some files (path, content). A broken file gives none with ``skip_broken``, else it raises."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in schema.split(", ")]
         for b in batches:
             for p, data in zip(b["path"], b["content"]):
-                yield pd.DataFrame(list(parse(p, gzip.decompress(data) if data[:2] == b"\x1f\x8b" and not p.endswith((".tar.gz", ".tgz")) else data)), columns=names)
+                data = bytes(data)
+                try:
+                    rows = list(parse(p, gzip.decompress(data) if data[:2] == b"\x1f\x8b" and not p.endswith((".tar.gz", ".tgz")) else data))
+                except BROKEN:
+                    if not skip_broken:
+                        raise
+                    continue
+                yield pd.DataFrame(rows, columns=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+    return files.select("path", "content").mapInPandas(run, schema)
 
 
-def read_txt_tar(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+def read_txt_tar(spark: SparkSession, path: str, single: bool = False, skip_broken: bool = False) -> DataFrame:
     """Sections of the regular members of tar archives, compressed or not; the id is the member's stem."""
+    return from_txt_tar(contents(spark, path), single, skip_broken)
+
+
+def from_txt_tar(archives: DataFrame, single: bool = False, skip_broken: bool = False) -> DataFrame:
+    """read_txt_tar() of rows (path, content)."""
 
     def members(_: str, data: bytes) -> Iterator[tuple]:
         with tarfile.open(fileobj=io.BytesIO(data)) as tar:
@@ -73,17 +102,41 @@ def read_txt_tar(spark: SparkSession, path: str, single: bool = False) -> DataFr
                 if m.isreg():
                     yield os.path.splitext(os.path.basename(m.name))[0], tar.extractfile(m).read().decode("utf-8")
 
-    return _plain(_parsed(spark, path, members, "doc_id string, text string"), single)
+    return _plain(_parsed(archives, members, "doc_id string, text string", skip_broken), single)
 
 
-def read_bioc_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_bioc_json(spark: SparkSession, path: str, byte_offsets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sections, entities) of BioC collections or documents in JSON. An annotation with several locations gives an entity for each."""
     raw = spark.read.text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("rec_id"), F.col("value").alias("body"))
-    return from_adjacency(shredding.adjacency(raw))
+    return from_adjacency(shredding.adjacency(raw), byte_offsets)
 
 
-def from_adjacency(adjacent: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sections, entities) of shredded BioC bodies. A passage without text gives its sentences, each at its offset."""
+def code_point_places(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (keys, sec_id, text, start, spots) with start and spots, arrays of (start, end) in bytes of the article from 0, in code points.
+
+    One pass over each article's sections in order: a place beyond the text of its section counts on from the section's
+    end, one within a character from its begin.
+    """
+    out = StructType([*[rows.schema[c] for c in rows.columns]])
+
+    def convert(article: pd.DataFrame) -> pd.DataFrame:
+        article, shift = article.sort_values("start"), 0
+        starts, spots = [], []
+        for text, start, marks in zip(article["text"], article["start"], article["spots"]):
+            raw = text.encode()
+            # bytes that continue a character, up to each byte
+            more = np.concatenate(([0], np.cumsum((np.frombuffer(raw, dtype=np.uint8) & 0xC0) == 0x80)))
+            place = lambda b, more=more, start=start, shift=shift, n=len(raw): int(b - shift - (more[min(max(b - start, 0), n)]))
+            starts.append(start - shift)
+            spots.append([{"n": m["n"], "start": place(m["start"]), "end": place(m["end"])} for m in marks])
+            shift += int(more[-1])
+        return article.assign(start=starts, spots=spots)
+
+    return rows.groupBy(*keys).applyInPandas(convert, out)
+
+
+def from_adjacency(adjacent: DataFrame, byte_offsets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(sections, entities) of shredded BioC bodies. A passage without text gives its sentences, each at its offset. With ``byte_offsets`` the offsets of the bodies count bytes."""
     top = lambda c, n: F.regexp_extract(c, f"^((?:[a-z]\\d+/?){{{n}}})", 1)
     docs = shredding.entity_table(adjacent, "document").select("rec_id", F.col("path").alias("doc_path"), F.coalesce("id", F.lit(UNKNOWN)).alias("doc_id"))
     kinds = shredding.infon_table(adjacent).where("infon_key = 'type'").select("rec_id", F.col("parent_path").alias("path"), F.col("infon_value").alias("type"))
@@ -95,12 +148,23 @@ def from_adjacency(adjacent: DataFrame) -> tuple[DataFrame, DataFrame]:
         "ss", F.lit(""), lambda a, s: F.concat(a, F.repeat(F.lit(" "), F.greatest(s["s_start"] - F.col("begin") - F.length(a), F.lit(0))), s["s_text"])
     )
     text = F.when((F.coalesce("text", F.lit("")) == "") & F.col("ss").isNotNull(), joined).otherwise(F.coalesce("text", F.lit("")))
-    sections = p.join(docs, ["rec_id", "doc_path"]).select("doc_id", F.col("ordinal").alias("sec_id"), "type", text.alias("text"), F.col("begin").alias("start"))
+    placed = p.join(docs, ["rec_id", "doc_path"]).select("rec_id", "path", "doc_path", "doc_id", F.col("ordinal").alias("sec_id"), "type", text.alias("text"), F.col("begin").alias("start"))
+    sections = placed.select("doc_id", "sec_id", "type", "text", "start")
     info = shredding.infon_table(adjacent).where(F.col("infon_key").isin(INFO)).groupBy("rec_id", F.col("parent_path").alias("path")).agg(*[F.max(F.when(F.col("infon_key") == f, F.col("infon_value"))).alias(f) for f in INFO])
     spots = shredding.entity_table(adjacent, "location").select("rec_id", F.col("parent_path").alias("path"), F.col("offset").cast("int").alias("start"), F.col("length").cast("int").alias("n"))
     annos = shredding.entity_table(adjacent, "annotation").select("rec_id", "path", "id", "text", top(F.col("path"), 1).alias("doc_path")).withColumn("doc_path", F.regexp_extract("path", "^(d\\d+)", 1))
     entities = annos.join(spots, ["rec_id", "path"]).join(info, ["rec_id", "path"], "left").join(docs, ["rec_id", "doc_path"])
-    return sections, entities.select("doc_id", "id", "text", "start", (F.col("start") + F.col("n")).alias("end"), *[F.coalesce(f, F.lit(UNKNOWN)).alias(f) for f in INFO])
+    entities = entities.withColumn("end", F.col("start") + F.col("n"))
+    if byte_offsets:
+        numbered = entities.withColumn("n", F.row_number().over(Window.partitionBy("rec_id", "doc_path").orderBy("path", "start", "end")))
+        within = F.regexp_extract("path", r"^(d\d+/p\d+)", 1)
+        marks = numbered.groupBy("rec_id", within.alias("path")).agg(F.collect_list(F.struct("n", "start", "end")).alias("spots"))
+        none = F.array().cast("array<struct<n:int,start:int,end:int>>")
+        both = placed.join(marks, ["rec_id", "path"], "left").withColumn("spots", F.coalesce("spots", none))
+        moved = code_point_places(both, ["rec_id", "doc_path"])
+        sections = moved.select("doc_id", "sec_id", "type", "text", "start")
+        entities = numbered.drop("start", "end").join(moved.select("rec_id", "doc_path", F.explode("spots").alias("s")).select("rec_id", "doc_path", "s.*"), ["rec_id", "doc_path", "n"])
+    return sections, entities.select("doc_id", "id", "text", "start", "end", *[F.coalesce(f, F.lit(UNKNOWN)).alias(f) for f in INFO])
 
 
 def _bioc_xml(data: bytes) -> Iterator[dict]:
@@ -128,8 +192,13 @@ def _bioc_xml(data: bytes) -> Iterator[dict]:
             d.clear()
 
 
-def read_bioc_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_bioc_xml(spark: SparkSession, path: str, skip_broken: bool = False, byte_offsets: bool = False) -> tuple[DataFrame, DataFrame]:
     """(sections, entities) of BioC XML, plain or gzipped."""
+    return from_bioc_xml(contents(spark, path), skip_broken, byte_offsets)
+
+
+def from_bioc_xml(files: DataFrame, skip_broken: bool = False, byte_offsets: bool = False) -> tuple[DataFrame, DataFrame]:
+    """read_bioc_xml() of rows (path, content)."""
     import hashlib
     import json
 
@@ -137,7 +206,7 @@ def read_bioc_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
         for k, d in enumerate(_bioc_xml(data)):
             yield int.from_bytes(hashlib.blake2b(f"{k} {p}".encode(), digest_size=8).digest(), signed=True), json.dumps(d)
 
-    return from_adjacency(shredding.adjacency(_parsed(spark, path, parse, "rec_id bigint, body string")))
+    return from_adjacency(shredding.adjacency(_parsed(files, parse, "rec_id bigint, body string", skip_broken)), byte_offsets)
 
 
 def pubtator_blocks(lines: DataFrame) -> DataFrame:
@@ -244,8 +313,13 @@ def _medline(data: bytes, single: bool, mesh: bool) -> Iterator[tuple[str, str |
         node.clear()
 
 
-def read_medline(spark: SparkSession, path: str, single: bool = False, mesh: bool = False) -> DataFrame:
+def read_medline(spark: SparkSession, path: str, single: bool = False, mesh: bool = False, skip_broken: bool = False) -> DataFrame:
     """Sections of Medline XML, plain or gzipped: title, abstract parts by label and, with ``mesh``, the MeSH headings, a line each."""
+    return from_medline(contents(spark, path), single, mesh, skip_broken)
+
+
+def from_medline(files: DataFrame, single: bool = False, mesh: bool = False, skip_broken: bool = False) -> DataFrame:
+    """read_medline() of rows (path, content)."""
 
     def parse(_: str, data: bytes) -> Iterator[tuple]:
         for pmid, _, _, sections, _ in _medline(data, single, mesh):
@@ -254,11 +328,16 @@ def read_medline(spark: SparkSession, path: str, single: bool = False, mesh: boo
                 yield pmid, k, kind, text, at
                 at += len(text)
 
-    return _parsed(spark, path, parse, SECTION_ROWS)
+    return _parsed(files, parse, SECTION_ROWS, skip_broken)
 
 
-def read_medline_mesh(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+def read_medline_mesh(spark: SparkSession, path: str, single: bool = False, skip_broken: bool = False) -> DataFrame:
     """The MeSH headings of Medline XML as entities, placed on the names that read_medline() with ``mesh`` has in its text."""
+    return from_medline_mesh(contents(spark, path), single, skip_broken)
+
+
+def from_medline_mesh(files: DataFrame, single: bool = False, skip_broken: bool = False) -> DataFrame:
+    """read_medline_mesh() of rows (path, content)."""
 
     def parse(_: str, data: bytes) -> Iterator[tuple]:
         for pmid, _, _, sections, names in _medline(data, single, True):
@@ -267,41 +346,53 @@ def read_medline_mesh(spark: SparkSession, path: str, single: bool = False) -> D
                 yield pmid, str(k), name, at, at + len(name), UNKNOWN, UNKNOWN, "MeSH", ui, UNKNOWN
                 at += len(name) + 1
 
-    return _parsed(spark, path, parse, ENTITY_ROWS)
+    return _parsed(files, parse, ENTITY_ROWS, skip_broken)
 
 
 def read_medline_articles(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, type, year) of Medline XML."""
-    return _parsed(spark, path, lambda _, data: ((p, t, y) for p, y, t, _, _ in _medline(data, False, False)), "doc_id string, type string, year string")
+    return _parsed(contents(spark, path), lambda _, data: ((p, t, y) for p, y, t, _, _ in _medline(data, False, False)), "doc_id string, type string, year string")
+
+
+def _first(root: ET.Element, *paths: str) -> ET.Element | None:
+    return next((n for p in paths if (n := root.find(p)) is not None), None)
 
 
 def _pmc(data: bytes) -> tuple[str, list[tuple[str, str]]]:
+    """(id, sections) of a full text, by one walk down the tree that carries the top section it is in."""
     root = ET.fromstring(data)
-    up = {c: p for p in root.iter() for c in p}
     text = lambda n: _itertext(n).strip() + "\n\n"
-    found = [root.find(f".//article-id[@pub-id-type='{t}']") for t in ("pmc", "pubmed")] + [root.find(".//article-id")]
-    doc_id = next((n.text for n in found if n is not None), UNKNOWN)
-    title = root.find(".//title-group/article-title")
-    title = title if title is not None else root.find(".//article-categories/subj-group/subject")
-    abstract = ""
-    for a in root.iter("abstract"):
-        abstract += (a.get("abstract-type").capitalize() if a.get("abstract-type") else "Abstract") + "\n\n" + "".join(text(n) for n in a.iter() if n.tag in ("title", "p"))
-    sections = [("title", text(title)), ("abstract", abstract)]
-
-    def top(n: ET.Element) -> ET.Element | None:
-        sec = None
-        while (n := up.get(n)) is not None and n.tag != "body":
-            sec = n if n.tag == "sec" else sec
-        return sec
-
-    for body in root.iter("body"):
-        for sec, nodes in groupby((n for n in body.iter() if n.tag in ("title", "p", "label")), key=top):
-            sections.append(("body" if sec is None else sec.get("sec-type", "section"), "".join(map(text, nodes))))
-    return doc_id, sections
-
-
-def read_pmc(spark: SparkSession, path: str) -> DataFrame:
+    named = _first(root, ".//article-id[@pub-id-type='pmc']", ".//article-id[@pub-id-type='pubmed']", ".//article-id")
+    abstracts: list[str] = []
+    body: list[list] = []  # of [top section, name, text]
+    todo: list[tuple[ET.Element, str, ET.Element | None]] = [(root, "", None)]
+    while todo:
+        node, part, top = todo.pop()
+        if node.tag == "abstract":
+            abstracts.append((node.get("abstract-type") or "abstract").capitalize() + "\n\n")
+            part = "abstract"
+        elif node.tag == "body":
+            part, top = "body", None
+        elif part == "body" and node.tag == "sec" and top is None:
+            top = node
+        if part == "abstract" and node.tag in ("title", "p"):
+            abstracts.append(text(node))
+        elif part == "body" and node.tag in ("title", "p", "label"):
+            if not body or body[-1][0] is not top or top is None and body[-1][1] != "body":
+                body.append([top, "body" if top is None else top.get("sec-type", "section"), ""])
+            body[-1][2] += text(node)
+        todo += [(child, part, top) for child in reversed(node)]
+    title = _first(root, ".//title-group/article-title", ".//article-categories/subj-group/subject")
+    return UNKNOWN if named is None else named.text, [("title", text(title)), ("abstract", "".join(abstracts)), *[(kind, words) for _, kind, words in body]]
+
+
+def read_pmc(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
     """Sections of PMC full-text XML: title, abstracts, and the paragraphs of the body by top-level section."""
+    return from_pmc(contents(spark, path), skip_broken)
+
+
+def from_pmc(files: DataFrame, skip_broken: bool = False) -> DataFrame:
+    """read_pmc() of rows (path, content)."""
 
     def parse(_: str, data: bytes) -> Iterator[tuple]:
         doc_id, sections = _pmc(data)
@@ -310,7 +401,7 @@ def read_pmc(spark: SparkSession, path: str) -> DataFrame:
             yield doc_id, k, kind, text, at
             at += len(text)
 
-    return _parsed(spark, path, parse, SECTION_ROWS)
+    return _parsed(files, parse, SECTION_ROWS, skip_broken)
 
 
 def write_lines(rows: DataFrame, path: str, order: list[str], line: str = "line") -> None:

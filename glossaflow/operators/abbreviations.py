@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossaflow.functions import text as T
+from glossaflow.operators.recognize import checked
 from glossaflow.schema import INFO
 
 _find = re.compile(r"\d+|[^\W\d_]+|[()]").finditer
@@ -57,25 +58,28 @@ def recognise_abbreviations(sentences: DataFrame, index: DataFrame, doc: str = "
     """(doc, number, start, end, info fields): the entities of the sentences of each article, abbreviations included.
 
     An abbreviation counts from the place after its definition to the end of the article, and is compared exactly.
-    The sentences of an article are one group, held by one task; the dictionary is sent to all executors once its size
-    is checked. ``index`` must be built with parentheses as tokens.
+    The sentences of an article are one group, held by one task, with the entries of a dictionary of any size that begin
+    with a token of the article. ``index`` must be built with parentheses as tokens.
     """
-    rows = index.select("n_toks", "first", "key", *INFO).limit(500_001).collect()
-    if len(rows) > 500_000:
-        raise ValueError("the dictionary is too large to learn abbreviations with")
-    shared = sentences.sparkSession.sparkContext.broadcast(([tuple(r) for r in rows], frozenset(stopwords)))
+    sentences, index = sentences.withColumn("__start", F.coalesce(F.col(start), F.lit(0)) if start else F.lit(0)), index
+    shared = sentences.sparkSession.sparkContext.broadcast(frozenset(stopwords))
     fields = {f.name: f.dataType.simpleString() for f in sentences.schema}
     schema = f"{doc} {fields[doc]}, {number} {fields[number]}, start int, end int, " + ", ".join(f"{f} string" for f in INFO)
 
     def learn(articles: pd.DataFrame) -> pd.DataFrame:
         articles = articles.sort_values(number)
+        entries = {tuple(e.values()) for some in articles["__entries"] if some is not None for e in some}
         shifts = dict(zip(articles[number], articles["__start"]))
-        found = Dictionary(*shared.value).article(list(zip(articles[number], articles["__text"])))
+        found = Dictionary(entries, shared.value).article(list(zip(articles[number], articles["__text"])))
         out = [(articles[doc].iloc[0], k, a + shifts[k], b + shifts[k], *e) for k, a, b, e in found]
         return pd.DataFrame(out, columns=[doc, number, "start", "end", *INFO])
 
-    plain = sentences.select(doc, number, F.col(text).alias("__text"), (F.coalesce(F.col(start), F.lit(0)) if start else F.lit(0)).alias("__start"))
-    return plain.groupBy(doc).applyInPandas(learn, schema)
+    # of the dictionary, an article needs the terms that begin with one of its tokens
+    plain = sentences.select(doc, number, F.col(text).alias("__text"), "__start")
+    begun = plain.select(doc, number, F.explode(F.array_distinct(F.transform(T.tokens(F.coalesce("__text", F.lit("")), T.TOKEN_PARENS), F.lower))).alias("first"))
+    terms = begun.join(checked(index.select("n_toks", "first", "key", *INFO).distinct()), "first")
+    held = terms.groupBy(doc, number).agg(F.collect_list(F.struct("n_toks", "first", "key", *INFO)).alias("__entries"))
+    return plain.join(held, [doc, number], "left").groupBy(doc).applyInPandas(learn, schema)
 
 
 def definitions(tokens: DataFrame, matches: DataFrame, doc: str = "doc_id", number: str = "sent_id") -> DataFrame:

@@ -66,11 +66,13 @@ def orphan_references(annotations: DataFrame, relations: DataFrame) -> DataFrame
     live = targets(annotations, relations)
     slice_of = F.floor(F.unix_timestamp("at") / SLICE_SECONDS)
     points = refs.select("article_id", "ref", "at").distinct()
-    opened = live.select("article_id", "ref", "is_annotation", F.col("opened").alias("at"), F.when(F.col("closed").isNull() | (F.col("closed") > F.col("opened")), 1).otherwise(0).alias("delta"))
-    closed = live.where(F.col("closed") > F.col("opened")).select("article_id", "ref", "is_annotation", F.col("closed").alias("at"), F.lit(-1).alias("delta"))
+    lasts = F.col("closed").isNull() | (F.col("closed") > F.col("opened"))
+    begins = F.struct(F.col("opened").alias("at"), F.when(lasts, 1).otherwise(0).alias("delta"), F.lit(1).alias("opens"))
+    ends = F.struct(F.col("closed").alias("at"), F.lit(-1).alias("delta"), F.lit(0).alias("opens"))
+    # both moments of an interval come from one scan
     moments = (
-        opened.withColumn("opens", F.lit(1))
-        .unionByName(closed.withColumn("opens", F.lit(0)))
+        live.select("article_id", "ref", "is_annotation", F.explode(F.when(F.col("closed") > F.col("opened"), F.array(begins, ends)).otherwise(F.array(begins))).alias("m"))
+        .select("article_id", "ref", "is_annotation", "m.at", "m.delta", "m.opens")
         .withColumn("asked", F.lit(0))
         .unionByName(points.select("article_id", "ref", F.lit(None).cast("int").alias("is_annotation"), "at", F.lit(0).alias("delta"), F.lit(0).alias("opens"), F.lit(1).alias("asked")))
         .groupBy("article_id", "ref", slice_of.alias("slice"), "at")

@@ -45,9 +45,14 @@ def terms(spark, sf_dir) -> DataFrame:
 
 
 def sections(spark, sf_dir) -> DataFrame:
-    """The passages as sections, each once, numbered within the article by offset."""
-    p = read(spark, sf_dir, "passages").where("text is not null")
-    once = p.groupBy("passage_id").agg(F.min(F.struct("article_id", "passage_offset", "text", F.element_at("infons", F.lit("type")).alias("type"))).alias("x")).select("passage_id", "x.*")
+    """The passages as sections, each once, numbered within the article by offset. A passage without text gives its sentences, each at its offset."""
+    given = F.array_sort(F.transform("sentences", lambda s: F.struct(s["char_offset"].alias("o"), F.coalesce(s["text"], F.lit("")).alias("t"))))
+    p = read(spark, sf_dir, "passages").where("text is not null or sentences is not null").withColumn("ss", given)
+    gap = lambda s, i: F.greatest(F.coalesce(F.get("ss", i + 1)["o"] - s["o"] - F.length(s["t"]), F.lit(0)), F.lit(0))
+    joined = F.array_join(F.transform("ss", lambda s, i: F.concat(s["t"], F.repeat(F.lit(" "), gap(s, i)))), "")
+    begin = F.when(F.col("text").isNull(), F.get("ss", F.lit(0))["o"]).otherwise(F.col("passage_offset")).alias("passage_offset")
+    row = F.struct("article_id", begin, F.coalesce("text", joined).alias("text"), F.element_at("infons", F.lit("type")).alias("type"))
+    once = p.groupBy("passage_id").agg(F.min(row).alias("x")).select("passage_id", "x.*")
     number = F.row_number().over(Window.partitionBy("article_id").orderBy("passage_offset", "passage_id")) - 1
     return once.select(F.col("article_id").alias("doc_id"), number.alias("sec_id"), F.coalesce("type", F.lit("")).alias("type"), "text", F.col("passage_offset").alias("start"))
 
@@ -75,7 +80,8 @@ def _tokens_sql(source: str, keys: str, pattern: str = _PIECES, keep: str = r"^[
 _SECTIONS = """
 secs AS (SELECT article_id AS doc_id, row_number() OVER (PARTITION BY article_id ORDER BY passage_offset, passage_id) - 1 AS sec_id, coalesce(type, '') AS type, text, passage_offset AS start_ FROM (
   SELECT passage_id, x.a AS article_id, x.o AS passage_offset, x.t AS text, x.k AS type FROM (
-    SELECT passage_id, min({'a': article_id, 'o': passage_offset, 't': text, 'k': map_extract(infons, 'type')[1]}) AS x FROM passages WHERE text IS NOT NULL GROUP BY passage_id)))
+    SELECT passage_id, min({'a': article_id, 'o': CASE WHEN text IS NULL THEN ss[1].o ELSE passage_offset END, 't': coalesce(text, array_to_string(list_transform(ss, lambda s, i: s.t || repeat(' ', greatest(coalesce(ss[i + 1].o - s.o - length(s.t), 0), 0))), '')), 'k': map_extract(infons, 'type')[1]}) AS x
+    FROM (SELECT *, list_sort(list_transform(sentences, lambda s: {'o': s.char_offset, 't': coalesce(s.text, '')})) AS ss FROM passages WHERE text IS NOT NULL OR sentences IS NOT NULL) GROUP BY passage_id)))
 """
 _SENTENCES = r"""
 cuts AS (SELECT doc_id, sec_id, type, start_, pos, piece, coalesce(sum(CASE WHEN brk THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, sec_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sent_id FROM (
@@ -154,16 +160,17 @@ def norm_greek(spark, sf_dir):
     return v.where("norm <> token")
 
 
-@query(rf"{_VOCABULARY} SELECT CASE WHEN regexp_matches(token, '^\p{{Nd}}+$') THEN '0' ELSE lower(token) END AS norm, CAST(sum(n) AS BIGINT) AS n FROM voc WHERE NOT regexp_matches(token, '^[\p{{No}}]+$') GROUP BY 1")
+@query(rf"{_VOCABULARY} SELECT CASE WHEN regexp_matches(token, '^[\p{{Nd}}²³¹⁰-⁹₀-₉]+$') THEN '0' ELSE lower(token) END AS norm, CAST(sum(n) AS BIGINT) AS n FROM voc GROUP BY 1")
 def norm_mask_digits(spark, sf_dir):
-    v = _vocabulary(spark, sf_dir).where(r"NOT token rlike '^[\\p{No}]+$'")
+    v = _vocabulary(spark, sf_dir)
     return v.groupBy(T.normalise(F.col("token"), "mask-0-digits lowercase").alias("norm")).agg(F.sum("n").alias("n"))
 
 
-@query(f"{_VOCABULARY} SELECT token, nfc_normalize(token) AS norm FROM voc WHERE nfc_normalize(token) <> token")
+@query("SELECT DISTINCT passage_id, nfc_normalize(text) AS norm FROM passages WHERE nfc_normalize(text) <> text")
 def norm_unicode_nfc(spark, sf_dir):
-    v = _vocabulary(spark, sf_dir).select("token", T.normalise(F.col("token"), "unicode-NFC").alias("norm"))
-    return v.where("norm <> token")
+    """Of whole texts, as tokens hold no combining marks."""
+    v = read(spark, sf_dir, "passages").select("passage_id", "text", T.normalise(F.col("text"), "unicode-NFC").alias("norm"))
+    return v.where("norm <> text").select("passage_id", "norm").distinct()
 
 
 @query()
@@ -277,16 +284,15 @@ def er_multi_recognizer(spark, sf_dir):
     return _out(e, "doc_id", "id").drop("text")
 
 
-_ONCE = "once AS (SELECT anno_key, x.a AS doc_id, x.i AS id, x.t AS text, x.s AS start_, x.s + x.n AS end_, x.k AS type, x.c AS native_id FROM (SELECT anno_key, min({'r': received_at, 'a': article_id, 'i': id, 't': text, 's': locations[1].char_offset, 'n': locations[1].span_length, 'k': entity_type, 'c': native_id}) AS x FROM annotations GROUP BY anno_key))"
+_ONCE = "once AS (SELECT anno_key, x.a AS doc_id, x.i AS id, x.t AS text, s.char_offset AS start_, s.char_offset + s.span_length AS end_, x.k AS type, x.c AS native_id FROM (SELECT *, unnest(CASE WHEN len(x.l) > 0 THEN x.l ELSE [NULL] END) AS s FROM (SELECT anno_key, min({'r': received_at, 'a': article_id, 'i': id, 't': text, 'l': locations, 'k': entity_type, 'c': native_id}) AS x FROM annotations GROUP BY anno_key)))"
 
 
 def gold(spark, sf_dir) -> DataFrame:
-    """The annotations as entities: one per key, at their first span."""
+    """The annotations as entities: one for each span of a key, or one without a place."""
     a = read(spark, sf_dir, "annotations")
-    first = F.get("locations", F.lit(0))
-    row = F.struct("received_at", "article_id", "id", "text", first["char_offset"].alias("s"), first["span_length"].alias("n"), "entity_type", "native_id")
-    x = a.groupBy("anno_key").agg(F.min(row).alias("x"))
-    return x.select(F.col("x.article_id").alias("doc_id"), "x.id", "x.text", F.col("x.s").alias("start"), (F.col("x.s") + F.col("x.n")).alias("end"), F.col("x.entity_type").alias("type"), "x.native_id", *[F.lit(None).cast("string").alias(f) for f in ("preferred_form", "original_resource", "umls_cui")])
+    row = F.struct("received_at", "article_id", "id", "text", "locations", "entity_type", "native_id")
+    x = a.groupBy("anno_key").agg(F.min(row).alias("x")).select("x", F.explode_outer("x.locations").alias("s"))
+    return x.select(F.col("x.article_id").alias("doc_id"), "x.id", "x.text", F.col("s.char_offset").alias("start"), (F.col("s.char_offset") + F.col("s.span_length")).alias("end"), F.col("x.entity_type").alias("type"), "x.native_id", *[F.lit(None).cast("string").alias(f) for f in ("preferred_form", "original_resource", "umls_cui")])
 
 
 @query(f"WITH {_SECTIONS}, {_SENTENCES}, {_ONCE} SELECT o.doc_id, o.id, CAST(sec_id AS INTEGER) AS sec_id, sent_id, o.start_, o.end_ FROM once o JOIN sents s ON s.doc_id = o.doc_id AND o.start_ >= s.start_ AND o.start_ < s.end_")
@@ -312,15 +318,17 @@ def er_abbrev(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_SECTIONS}, {_SENTENCES}, src AS (SELECT doc_id, sec_id, sent_id, text, start_ AS shift0 FROM sents), tok AS {_tokens_sql("src", "doc_id, sec_id, sent_id", _PARENS, r"^[\p{L}\p{N}()]", "shift0")}, {_INDEX.replace(_TOK, r"(\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[()])")}, {_match_sql("doc_id, sec_id, sent_id")}
-SELECT DISTINCT h.doc_id, b.token AS short, CAST(b.start_ AS INTEGER) AS place, h.native_id FROM hits h JOIN tok e ON e.doc_id = h.doc_id AND e.sec_id = h.sec_id AND e.sent_id = h.sent_id AND e.end_ = h.end_
-JOIN tok a ON a.doc_id = h.doc_id AND a.sec_id = h.sec_id AND a.sent_id = h.sent_id AND a.i = e.i + 1 AND a.token = '(' JOIN tok b ON b.doc_id = h.doc_id AND b.sec_id = h.sec_id AND b.sent_id = h.sent_id AND b.i = e.i + 2
-JOIN tok c ON c.doc_id = h.doc_id AND c.sec_id = h.sec_id AND c.sent_id = h.sent_id AND c.i = e.i + 3 AND c.token = ')'"""
+    f"""WITH src AS (SELECT term AS doc_id, min(term || ' (' || {"translate(native_id, '0123456789:_-', 'abcdefghij')"} || ') was seen') AS text FROM termlist WHERE native_id IS NOT NULL GROUP BY 1), tok AS {_tokens_sql("src", "doc_id", _PARENS, r"^[\p{L}\p{N}()]")}, {_INDEX.replace(_TOK, r"(\p{Nd}+|[\p{L}\p{Nl}\p{No}]+|[()])")}, {_match_sql("doc_id")}
+SELECT DISTINCT h.doc_id, b.token AS short, CAST(b.start_ AS INTEGER) AS place, h.native_id FROM hits h JOIN tok e ON e.doc_id = h.doc_id AND e.end_ = h.end_
+JOIN tok a ON a.doc_id = h.doc_id AND a.i = e.i + 1 AND a.token = '(' JOIN tok b ON b.doc_id = h.doc_id AND b.i = e.i + 2 JOIN tok c ON c.doc_id = h.doc_id AND c.i = e.i + 3 AND c.token = ')'"""
 )
 def er_abbrev_one_level(spark, sf_dir):
+    """Each term of the dictionary, defined with a name in parentheses."""
     index = termlist.build_index(terms(spark, sf_dir), pattern=T.TOKEN_PARENS)
-    s = corpus(spark, sf_dir).sentences.select("doc_id", F.col("sent_no").alias("sent_id"), "text", "start")
-    spans = recognize.token_spans(s, start="start", pattern=T.TOKEN_PARENS)
+    t = read(spark, sf_dir, "termlist")
+    short = F.translate("native_id", "0123456789:_-", "abcdefghij")
+    s = t.select(F.col("term").alias("doc_id"), F.concat("term", F.lit(" ("), short, F.lit(") was seen")).alias("text")).where("text is not null").distinct().groupBy("doc_id").agg(F.min("text").alias("text"))
+    spans = recognize.token_spans(s.select("doc_id", F.lit(1).alias("sent_id"), "text"), pattern=T.TOKEN_PARENS)
     hits = recognize.match(spans.select("doc_id", "sent_id", "tokens"), index, ["doc_id", "sent_id"])
     toks = spans.select("doc_id", "sent_id", F.posexplode("tokens").alias("i", "t")).select("doc_id", "sent_id", "i", "t.token", "t.start", "t.end")
     return abbreviations.definitions(toks, hits).select("doc_id", "short", "place", "native_id").distinct()
@@ -431,15 +439,15 @@ def eval_partial_candidates(spark, sf_dir):
 
 
 @query(
-    """WITH once AS (SELECT anno_key, x.a AS doc_id, x.l AS l FROM (SELECT anno_key, min({'a': article_id, 'l': locations}) AS x FROM annotations WHERE length(locations) > 1 GROUP BY 1))
-SELECT a.anno_key AS a_key, b.anno_key AS b_key FROM once a JOIN once b ON a.doc_id = b.doc_id AND a.anno_key < b.anno_key AND EXISTS (SELECT 1 FROM (SELECT unnest(a.l) AS s) x, (SELECT unnest(b.l) AS t) y WHERE greatest(s.char_offset, t.char_offset) < least(s.char_offset + s.span_length, t.char_offset + t.span_length))"""
+    f"""{_ENTITIES}, many AS (SELECT anno_key, x.a AS doc_id, x.l AS l FROM (SELECT anno_key, min({{'a': article_id, 'l': locations}}) AS x FROM annotations GROUP BY anno_key) WHERE length(x.l) > 1)
+SELECT a.anno_key AS a_key, e.id AS e_id FROM many a JOIN ents e ON a.doc_id = e.doc_id AND EXISTS (SELECT 1 FROM (SELECT unnest(a.l) AS s) x WHERE greatest(s.char_offset, e.start_) < least(s.char_offset + s.span_length, e.end_))"""
 )
 def eval_multispan_overlap(spark, sf_dir):
-    """Annotations of several spans that meet others of their article; lists of offsets as evaluation files have them."""
-    a = read(spark, sf_dir, "annotations").where("size(locations) > 1").groupBy("anno_key").agg(F.min(F.struct("article_id", "locations")).alias("x"))
-    offsets = a.select("anno_key", F.col("x.article_id").alias("doc_id"), F.array_join(F.transform("x.locations", lambda s: s["char_offset"].cast("string")), ";").alias("starts"), F.array_join(F.transform("x.locations", lambda s: (s["char_offset"] + s["span_length"]).cast("string")), "; ").alias("ends"))
-    b = offsets.select("doc_id", *[F.col(c).alias("b_" + c) for c in ("anno_key", "starts", "ends")])
-    return offsets.join(b, "doc_id").where("anno_key < b_anno_key").where(evaluation.spans_overlap(F.col("starts"), F.col("ends"), F.col("b_starts"), F.col("b_ends"))).select(F.col("anno_key").alias("a_key"), F.col("b_anno_key").alias("b_key"))
+    """Annotations of several spans and the recognised entities that any of their spans meets; lists of offsets as evaluation files have them."""
+    a = read(spark, sf_dir, "annotations").groupBy("anno_key").agg(F.min(F.struct("article_id", "locations")).alias("x")).where("size(x.locations) > 1")
+    many = a.select("anno_key", F.col("x.article_id").alias("doc_id"), F.array_join(F.transform("x.locations", lambda s: s["char_offset"].cast("string")), ";").alias("starts"), F.array_join(F.transform("x.locations", lambda s: (s["char_offset"] + s["span_length"]).cast("string")), "; ").alias("ends"))
+    e = annotated(spark, sf_dir).entities.select("doc_id", F.col("id").alias("e_id"), F.col("start").cast("string").alias("e_starts"), F.col("end").cast("string").alias("e_ends"))
+    return many.join(e, "doc_id").where(evaluation.spans_overlap(F.col("starts"), F.col("ends"), F.col("e_starts"), F.col("e_ends"))).select(F.col("anno_key").alias("a_key"), "e_id")
 
 
 @query("SELECT DISTINCT doc_id::VARCHAR || chr(9) || coalesce(lang, '') || chr(9) || coalesce(source, '') AS line, coalesce(source, '') || '|' || doc_id::VARCHAR AS record FROM documents")
@@ -452,6 +460,8 @@ def eval_field_selection(spark, sf_dir):
 
 _WORDS = r"(\s+|[\p{L}\p{N}\p{M}_]+|[^\s\p{L}\p{N}\p{M}_]+)"
 _WORD_TOKENS = f"words AS {_tokens_sql('src', 'doc_id, sec_id, sent_id', r'([\p{L}\p{N}_]+|\s+|[^\p{L}\p{N}_\s]+)', r'^\S', 'shift0')}"
+#: Words and runs of other visible signs as Python's \\w has them, marks apart.
+_WORDS_SQL, _WORD_START = r"([\p{L}\p{N}_]+|[\s\p{Z}\x1c-\x1f\x{85}]+|[^\p{L}\p{N}_\s\p{Z}\x1c-\x1f\x{85}]+)", r"^[^\s\p{Z}\x1c-\x1f\x{85}]"
 _TSV = "SELECT doc_id, type, start_, end_, regexp_replace(text, '\\s', ' ', 'g') AS term, preferred_form, native_id, section_type AS zone, 'S' || sent_no AS sentence, original_resource, umls_cui FROM ents"
 
 
@@ -460,7 +470,10 @@ def sink_tsv(spark, sf_dir):
     return L.tsv(annotated(spark, sf_dir)).withColumnsRenamed({"start": "start_", "end": "end_"})
 
 
-@query()
+@query(
+    f"""{_ENTITIES}, wsrc AS (SELECT doc_id, sec_id, sent_id, sent_no, text, start_ AS shift0 FROM sents), words AS {_tokens_sql("wsrc", "doc_id, sec_id, sent_id, sent_no", _WORDS_SQL, _WORD_START, "shift0")}
+{_TSV} UNION ALL SELECT w.doc_id, '', w.start_, w.end_, w.token, '', '', '', 'S' || w.sent_no, '', '' FROM words w WHERE NOT EXISTS (SELECT 1 FROM ents e WHERE e.doc_id = w.doc_id AND e.sec_id = w.sec_id AND e.sent_id = w.sent_id AND greatest(e.start_, w.start_) < least(e.end_, w.end_))"""
+)
 def sink_text_tsv(spark, sf_dir):
     return L.text_tsv(annotated(spark, sf_dir)).withColumnsRenamed({"start": "start_", "end": "end_"})
 
@@ -475,7 +488,13 @@ def sink_brat_t(spark, sf_dir):
     return L.brat(annotated(spark, sf_dir)).where("part = 0").select("doc_id", "line")
 
 
-@query()
+@query(
+    f"""{_ENTITIES}, m AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY start_, end_, name, line_text) AS t FROM (SELECT *, regexp_replace(coalesce(type, ''), '[^\\p{{L}}\\p{{N}}_]+', '_', 'g') AS name, regexp_replace(text, '\\s', ' ', 'g') AS line_text FROM ents)),
+each AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY t, sent_no, id, type NULLS FIRST, preferred_form NULLS FIRST, original_resource NULLS FIRST, native_id NULLS FIRST, umls_cui NULLS FIRST) AS n FROM m)
+SELECT DISTINCT doc_id, CAST(t AS INTEGER) AS t, CAST(0 AS INTEGER) AS n, CAST(0 AS INTEGER) AS part, 'T' || t || chr(9) || name || ' ' || start_ || ' ' || end_ || chr(9) || line_text AS line FROM m
+UNION ALL SELECT doc_id, t, n, 1, '#' || n || chr(9) || 'AnnotatorNotes T' || t || chr(9) || coalesce(preferred_form, '') || chr(9) || coalesce(original_resource, '') || chr(9) || coalesce(native_id, '') || chr(9) || coalesce(umls_cui, '') FROM each
+UNION ALL SELECT doc_id, t, n, 2, 'A' || row_number() OVER (PARTITION BY doc_id ORDER BY n) || chr(9) || 'native_id T' || t || ' ' || native_id FROM each WHERE native_id <> ''"""
+)
 def sink_brat(spark, sf_dir):
     return L.brat(annotated(spark, sf_dir), [("native_id", True)]).select("doc_id", "t", "n", "part", "line")
 
@@ -518,7 +537,11 @@ def sink_pubtator(spark, sf_dir):
     return L.pubtator(annotated(spark, sf_dir)).select("doc_id", "line")
 
 
-@query()
+@query(
+    rf"""{_ENTITIES}, flat AS (SELECT *, rtrim(replace(replace(text, chr(10), ' '), chr(13), ' '), ' ') AS flat FROM secs), sh AS (SELECT *, coalesce(sum(length(flat) + 1 - length(text)) OVER (PARTITION BY doc_id ORDER BY sec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - first_value(start_) OVER (PARTITION BY doc_id ORDER BY sec_id) AS shift FROM flat)
+SELECT doc_id, doc_id || '|' || CASE WHEN type = '' THEN 'x' ELSE lower(type[1]) END || '|' || flat AS line FROM sh
+UNION ALL SELECT doc_id, concat_ws(chr(9), doc_id, 'T' || e.id, e.type, CAST(e.start_ + shift AS INTEGER), CAST(e.end_ + shift AS INTEGER), regexp_replace(e.text, '\s', ' ', 'g')) FROM ents e JOIN sh USING (doc_id, sec_id)"""
+)
 def sink_pubtator_fbk(spark, sf_dir):
     return L.pubtator(annotated(spark, sf_dir), True).select("doc_id", "line")
 
@@ -618,14 +641,6 @@ def sink_txt(spark, sf_dir):
 # ---- sources and pointers
 
 
-@query("""SELECT doc_id::VARCHAR AS doc_id, CAST(k AS INTEGER) AS k, kind FROM (SELECT doc_id, unnest([0, 1]) AS k, unnest(['t', 'a']) AS kind FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\S'))""")
-def load_pubtator_rows(spark, sf_dir):
-    d = docs(spark, sf_dir).where(F.col("text").rlike(r"[^\s\p{Z}]")).select("doc_id", T.one_line(F.col("text")).alias("text"))
-    block = F.concat_ws("\n", F.concat(F.col("doc_id").cast("string"), F.lit("|t|"), F.substring("text", F.lit(1), F.lit(20))), F.concat(F.col("doc_id").cast("string"), F.lit("|a|"), "text"))
-    sections, _ = files.from_pubtator(d.select(F.col("doc_id").cast("string").alias("source"), F.concat(block, F.lit("\n\n")).alias("text")))
-    return sections.select("doc_id", F.col("sec_id").alias("k"), F.when(F.col("type") == "Title", "t").otherwise("a").alias("kind"))
-
-
 @query(
     f"""{_ENTITIES}{_COVERED}, io AS (SELECT doc_id, sec_id, sent_id, i, label FROM nb), fixed AS (SELECT *, lag(label, 1, '') OVER (PARTITION BY doc_id, sec_id, sent_id ORDER BY i) AS before_ FROM io)
 SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, sent_id, CAST(i AS INTEGER) AS tok_id, CASE WHEN label = '' THEN 'O' WHEN before_ <> label THEN 'B' ELSE 'I' END AS iob FROM fixed"""

@@ -20,6 +20,7 @@ class Dictionary:
     stopwords: str = ""
     term_token: str = ""
     abbrev_detection: bool = False
+    match_hook: str = ""
     extra_fields: list[str] = field(default_factory=list)
 
 
@@ -35,6 +36,8 @@ class Settings:
     fallback_format: str = ""
     export_format: list[str] = field(default_factory=lambda: ["tsv"])
     fn_format_in: str = "{id}.txt"
+    fn_format_fallback: str = ""
+    index_cache: str = ""
     single_section: bool = False
     sentence_split: bool = False
     include_header: bool = False
@@ -45,8 +48,8 @@ class Settings:
     brat_attributes: list[str] = field(default_factory=list)
     conll_tagset: str = "IOBES"
     sentence_level: bool = False
+    byte_offsets_in: bool = False
     byte_offsets_out: bool = False
-    chunk_size: int = 1000
     dictionaries: list[Dictionary] = field(default_factory=list)
 
 

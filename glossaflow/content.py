@@ -29,6 +29,12 @@ class Content:
         return replace(self, entities=entities)
 
 
+def union(a: Content, b: Content) -> Content:
+    """The articles of two contents. Entities of either stay."""
+    entities = a.entities if b.entities is None else b.entities if a.entities is None else a.entities.unionByName(b.entities)
+    return Content(a.sections.unionByName(b.sections, allowMissingColumns=True), a.sentences.unionByName(b.sentences), entities)
+
+
 def numbered(sentences: DataFrame) -> DataFrame:
     """``sentences`` with sent_no, from 1 within each article."""
     return sentences.withColumn("sent_no", F.row_number().over(Window.partitionBy("doc_id").orderBy("sec_id", "sent_id")))
@@ -49,10 +55,10 @@ def from_texts(texts: DataFrame, doc_id: str = "doc_id", text: str = "text", sin
     return from_sections(parts.select("doc_id", "sec_id", F.lit("").alias("type"), "text", "start"))
 
 
-def annotate(content: Content, index: DataFrame, normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN, keep: bool = True) -> Content:
+def annotate(content: Content, index: DataFrame, normalisers: str = "lowercase", pattern: str = T.TOKEN, keep: bool = True) -> Content:
     """``content`` with the entities of a dictionary added to those it has; ids go on from the greatest numeric one."""
     keys = ["doc_id", "sec_id", "sent_id", "sent_no", "section_type"]
-    placed = recognize.recognise(content.sentences.withColumnRenamed("type", "section_type"), index, keys, start="start", normalisers=normalisers, stopwords=stopwords, pattern=pattern)
+    placed = recognize.recognise(content.sentences.withColumnRenamed("type", "section_type"), index, keys, start="start", normalisers=normalisers, pattern=pattern)
     old = content.entities if keep else None
     named = recognize.with_ids(placed, ["doc_id"], ["sent_no", "start", "end", "recognizer", *INFO], old)
     columns = [*keys, "id", "text", "start", "end", *INFO]

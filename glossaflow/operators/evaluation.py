@@ -90,6 +90,14 @@ def macro(counted: DataFrame, phantom_doc: bool = False) -> DataFrame:
     return per.agg(*[F.round((F.coalesce(F.sum(c), F.lit(0.0)) + more) / n, 6).alias(c) for c in ("p", "r", "f1")], n.cast("long").alias("documents"))
 
 
+def write(verdicts: DataFrame, micro: DataFrame, macro_: DataFrame, folder: str) -> None:
+    """Writes each record with its verdict, parted by verdict (TP, FP, FN, PP), and the scores, as tab-separated lines below ``folder``."""
+    order = [c for c in verdicts.columns if c != "verdict"]
+    verdicts.repartitionByRange("verdict", *order).sortWithinPartitions("verdict", *order).write.mode("overwrite").partitionBy("verdict").csv(f"{folder}/records", sep="\t", quote="", emptyValue="")
+    for name, scored in (("micro", micro), ("macro", macro_)):
+        scored.coalesce(1).write.mode("overwrite").csv(f"{folder}/{name}", sep="\t", header=True)
+
+
 def spans_overlap(starts: Column, ends: Column, other_starts: Column, other_ends: Column) -> Column:
     """Whether any span of two multi-span records overlaps; offsets are lists parted by blanks, commas or semicolons."""
     numbers = lambda c: F.array_sort(F.transform(F.filter(F.split(c, "[ ,;]+"), lambda x: x != ""), lambda x: x.cast("int")))

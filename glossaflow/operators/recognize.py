@@ -60,12 +60,12 @@ def token_spans(texts: DataFrame, text: str = "text", start: str | None = None,
     return texts.mapInArrow(cut, f"{names}, tokens array<struct<token:string,gap:string,start:int,end:int>>")
 
 
-def match(tokenised: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase", stopwords: list[str] = ()) -> DataFrame:
+def match(tokenised: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase") -> DataFrame:
     """(keys, start, end, text, n_toks, recognizer, info fields): every match of the ``index`` in the rows of ``tokenised`` (keys, tokens).
 
     Matches may overlap and nest, and never leave a row. A position carries no more tokens than the longest term has;
-    it is first looked up by its first token, and only the lengths of terms that begin so make n-grams. An n-gram that is
-    a stopword is compared exactly. The surface is put together from tokens and gaps, so texts are not joined again, and
+    it is first looked up by its first token, and only the lengths of terms that begin so make n-grams. An entry that the
+    index marks as stopped is compared exactly. The surface is put together from tokens and gaps, so texts are not joined again, and
     with a dictionary that is broadcast nothing is shuffled.
     """
     longest = index.agg(F.max("n_toks")).first()[0] or 1
@@ -76,18 +76,21 @@ def match(tokenised: DataFrame, index: DataFrame, keys: list[str], normalisers:
     grams = normed.select(*keys, "spot", "norms", F.explode("lengths").alias("n")).where("n <= size(spot)")
     part = F.slice("spot", F.lit(1), F.col("n"))
     norm = F.array_join(F.slice("norms", F.lit(1), F.col("n")), T.GAP)
-    key = F.when(norm.isin(list(stopwords)), F.array_join(F.transform(part, lambda t: t["token"]), T.GAP)).otherwise(norm) if stopwords else norm
+    exact = F.array_join(F.transform(part, lambda t: t["token"]), T.GAP)
+    by_stop = "stopped" in index.columns
     last = F.col("spot")[F.col("n") - 1]
     surface = F.concat(F.array_join(F.transform(F.slice("spot", F.lit(1), F.col("n") - 1), lambda t: F.concat(t["token"], t["gap"])), ""), last["token"])
-    found = grams.select(*keys, F.col("spot")[0]["start"].alias("start"), last["end"].alias("end"), surface.alias("text"), key.alias("key"))
-    return found.join(checked(index), "key").drop("key", "first")
+    found = grams.select(*keys, F.col("spot")[0]["start"].alias("start"), last["end"].alias("end"), surface.alias("text"), norm.alias("norm" if by_stop else "key"), *([exact.alias("__exact")] if by_stop else []))
+    if not by_stop:
+        return found.join(checked(index), "key").drop("key", "first")
+    return found.join(checked(index), "norm").where(~F.col("stopped") | (F.col("key") == F.col("__exact"))).drop("key", "first", "norm", "stopped", "__exact")
 
 
-def recognise(texts: DataFrame, index: DataFrame, keys: list[str], text: str = "text", start: str | None = None, normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN) -> DataFrame:
+def recognise(texts: DataFrame, index: DataFrame, keys: list[str], text: str = "text", start: str | None = None, normalisers: str = "lowercase", pattern: str = T.TOKEN) -> DataFrame:
     """(keys, start, end, text, recognizer, info fields): all entities of the rows of ``texts``. Rows without text have none."""
     plain = texts.select(*keys, F.col(text).alias("__text"), *([F.col(start).alias("__start")] if start else []))
     tokenised = token_spans(plain, "__text", "__start" if start else None, pattern)
-    return match(tokenised, index, keys, normalisers, stopwords).drop("n_toks")
+    return match(tokenised, index, keys, normalisers).drop("n_toks")
 
 
 def entity_order(extra: list[str] = ()) -> list[str]:

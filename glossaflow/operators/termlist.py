@@ -49,24 +49,30 @@ def term_key(term: Column, normalisers: str = "lowercase", stopwords: list[str]
     return F.when(norm.isin(list(stopwords)), F.array_join(exact, T.GAP)).otherwise(norm) if stopwords else norm
 
 
-def build_index(terms: DataFrame, normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN, recognizer: int = 0) -> DataFrame:
+def build_index(terms: DataFrame, normalisers: str = "lowercase", stopwords: list[str] | DataFrame = (), pattern: str = T.TOKEN, recognizer: int = 0) -> DataFrame:
     """(recognizer, n_toks, first, key, info fields, extra fields): the entries of a dictionary, each once per key.
 
-    ``stopwords`` are keys. Terms that are null or have no token are left out, as they can't match.
+    ``stopwords`` are keys, a few in a list or any number in a frame (k). With some, the index has norm, the normalised
+    key, and stopped, whether that is a stopword, so that key is the exact one. Terms that are null or have no token are
+    left out, as they can't match.
     """
     info = [c for c in terms.columns if c != "term"]
     exact = T.tokens(F.col("term"), pattern)
-    return (
-        terms.where(F.size(exact) > 0)
-        .select(
-            F.lit(recognizer).alias("recognizer"),
-            F.size(exact).alias("n_toks"),
-            T.normalise(F.element_at(exact, 1), normalisers).alias("first"),
-            term_key(F.col("term"), normalisers, stopwords, pattern).alias("key"),
-            *info,
-        )
-        .dropDuplicates()
+    rows = terms.where(F.size(exact) > 0).select(
+        F.lit(recognizer).alias("recognizer"),
+        F.size(exact).alias("n_toks"),
+        T.normalise(F.element_at(exact, 1), normalisers).alias("first"),
+        term_key(F.col("term"), normalisers, pattern=pattern).alias("key"),
+        F.array_join(exact, T.GAP).alias("__exact"),
+        *info,
     )
+    if isinstance(stopwords, DataFrame):
+        marked = rows.withColumn("norm", F.col("key")).join(stopwords.select(F.col("k").alias("norm"), F.lit(True).alias("stopped")).distinct(), "norm", "left").withColumn("stopped", F.coalesce("stopped", F.lit(False)))
+    elif stopwords:
+        marked = rows.withColumn("norm", F.col("key")).withColumn("stopped", F.col("key").isin(list(stopwords)))
+    else:
+        return rows.drop("__exact").dropDuplicates()
+    return marked.withColumn("key", F.when(F.col("stopped"), F.col("__exact")).otherwise(F.col("key"))).select("recognizer", "n_toks", "first", "key", *info, "norm", "stopped").dropDuplicates()
 
 
 def first_index(index: DataFrame) -> DataFrame:

@@ -268,7 +268,7 @@ _STOP_SQL = "('gda' || chr(1) || '27', 'type')"
 )
 def er_match_stopwords(spark, sf_dir):
     index = termlist.build_index(terms(spark, sf_dir), stopwords=STOP)
-    return _out(recognize.recognise(spread(docs(spark, sf_dir)), index, ["doc_id"], stopwords=STOP), "doc_id").drop("text")
+    return _out(recognize.recognise(spread(docs(spark, sf_dir)), index, ["doc_id"]), "doc_id").drop("text")
 
 
 @query(f"{_ENTITIES} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, sent_id, id, start_, end_, text, type, preferred_form, original_resource, native_id, umls_cui FROM ents")

@@ -15,10 +15,10 @@ def text_stream(spark: SparkSession, path: str, schema: str = "doc_id string, te
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).format(form).load(path)
 
 
-def recognise_stream(texts: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase", stopwords: list[str] = (), pattern: str = T.TOKEN) -> DataFrame:
+def recognise_stream(texts: DataFrame, index: DataFrame, keys: list[str], normalisers: str = "lowercase", pattern: str = T.TOKEN) -> DataFrame:
     """The entities of a stream of texts (keys, text), as a stream: stateless, joined with a static dictionary only."""
     tokenised = recognize.token_spans(texts.select(*keys, "text"), pattern=pattern)
-    return recognize.match(tokenised, index, keys, normalisers, stopwords).drop("n_toks")
+    return recognize.match(tokenised, index, keys, normalisers).drop("n_toks")
 
 
 def start(entities: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):

@@ -35,7 +35,7 @@ def test_matches_equal_brute_force(spark, stop):
     texts = [" ".join(rng.choice(["IL-2", "il", "2", "receptor", "a", "B", "c", "(", "was", "WAS", "Was", "x_y", "β"]) for _ in range(30)) for _ in range(12)] + ["", None, "a b c" * 300]
     index = termlist.build_index(spark.createDataFrame(terms + terms[:3], SCHEMA), stopwords=[s.replace(" ", T.GAP) for s in stop])
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    got = recognize.recognise(df, index, ["doc_id"], stopwords=[s.replace(" ", T.GAP) for s in stop]).collect()
+    got = recognize.recognise(df, index, ["doc_id"]).collect()
     rows = {(r.doc_id, r.start, r.end, r.type, r.preferred_form, r.original_resource, r.native_id, r.umls_cui) for r in got}
     assert len(rows) == len(got)
     assert rows == {(k, *m) for k, t in enumerate(texts) if t for m in brute(t, terms, stop)}

@@ -566,11 +566,40 @@ def europepmc_rows(spark, sf_dir):
     return D.europepmc_annotations(annotated(spark, sf_dir)).select("doc_id", "position", "exact", "section", "type")
 
 
-@query()
+_WHOLE = "whole AS (SELECT doc_id, string_agg(padded, '' ORDER BY sec_id) AS text, min(start_) AS base FROM (SELECT *, repeat(chr(10), greatest(coalesce(start_ - lag(start_ + length(text)) OVER (PARTITION BY doc_id ORDER BY sec_id), 0), 0)) || text AS padded FROM secs) GROUP BY 1)"
+
+
+def _denotations(by: str, begin: str = "0") -> str:
+    return f"marks AS (SELECT {by}, list({{'id': 'T' || k, 'span': {{'begin': start_ - base, 'end': end_ - base}}, 'obj': native_id}} ORDER BY k) AS d FROM (SELECT e.*, {begin} AS base, row_number() OVER (PARTITION BY {', '.join('e.' + c for c in by.split(', '))} ORDER BY e.start_, e.end_, CAST(id AS BIGINT)) AS k FROM ents e JOIN secs s USING (doc_id, sec_id)) GROUP BY ALL)"
+
+
+@query(f"{_ENTITIES}, {_WHOLE}, {_denotations('doc_id')} SELECT doc_id, CAST(to_json({{'sourceid': doc_id, 'text': text, 'denotations': coalesce(d, []), 'sourcedb': 'unknown'}}) AS VARCHAR) AS json FROM whole LEFT JOIN marks USING (doc_id)")
 def sink_pubanno(spark, sf_dir):
     return D.pubannotation(annotated(spark, sf_dir))
 
 
+@query(f"{_ENTITIES}, {_denotations('doc_id, sec_id', 's.start_')} SELECT doc_id, CAST(sec_id AS INTEGER) AS sec_id, CAST(to_json({{'sourceid': doc_id, 'divid': sec_id + 1, 'text': text, 'denotations': coalesce(d, []), 'sourcedb': 'unknown'}}) AS VARCHAR) AS json FROM secs LEFT JOIN marks USING (doc_id, sec_id)")
+def sink_pubanno_sections(spark, sf_dir):
+    return D.pubannotation_sections(annotated(spark, sf_dir))
+
+
+@query(f"""{_ENTITIES} SELECT doc_id AS document_id, CAST(to_json(list({{'init': start_, 'end': end_, 'document_id': doc_id, 'section': CASE WHEN lower(section_type) = 'title' THEN 'T' ELSE 'A' END, 'score': 0.5::DOUBLE, 'annotated_text': text, 'type': type, 'database_id': native_id}}
+ORDER BY start_, end_, section_type = 'Title' DESC, text, type, native_id)) AS VARCHAR) AS json FROM ents GROUP BY doc_id""")
+def sink_becalm_json(spark, sf_dir):
+    return D.becalm_json(annotated(spark, sf_dir))
+
+
+@query(f"""{_ENTITIES}, {_WHOLE}, p AS (SELECT doc_id, count(*) AS passages FROM secs GROUP BY 1), a AS (SELECT e.doc_id, count(*) AS annotations, CAST(sum(strlen(substring(w.text, 1, CAST(e.start_ - base AS BIGINT))) + base) AS BIGINT) AS offsets, CAST(sum(strlen(e.text)) AS BIGINT) AS lengths FROM ents e JOIN whole w USING (doc_id) GROUP BY 1)
+SELECT doc_id, passages, coalesce(annotations, 0) AS annotations, coalesce(offsets, 0) AS offsets, coalesce(lengths, 0) AS lengths FROM p LEFT JOIN a USING (doc_id)""")
+def sink_bioc_bytes(spark, sf_dir):
+    """BioC documents whose offsets count bytes, by their numbers and sums."""
+    schema = "id string, passages array<struct<offset:int,annotations:array<struct<locations:array<struct<offset:int,length:int>>>>>>"
+    d = D.bioc_documents(annotated(spark, sf_dir), byte_offsets=True).select(F.from_json("document", schema).alias("d"))
+    places = F.flatten(F.transform("d.passages", lambda p: F.transform(p["annotations"], lambda a: a["locations"][0])))
+    total = lambda f: F.aggregate(places, F.lit(0).cast("bigint"), lambda a, x: a + x[f])
+    return d.select(F.col("d.id").alias("doc_id"), F.size("d.passages").cast("bigint").alias("passages"), F.size(places).cast("bigint").alias("annotations"), total("offset").alias("offsets"), total("length").alias("lengths"))
+
+
 @query()
 def sink_bioc_json(spark, sf_dir):
     return D.bioc_json(annotated(spark, sf_dir))

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gzip
 import io
-import os
 import tarfile
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -245,44 +246,59 @@ def odin_xml(content: Content) -> DataFrame:
     return _serialised(docs.join(entries, "doc_id", "left"), build)
 
 
-def write_archives(bodies: DataFrame, folder: str, kind: str = "tgz", members: int = 10_000, name: str = "doc_id", body: str = "json", ext: str = "json") -> DataFrame:
-    """Writes (name, body) rows to archives of at most ``members`` members each, in parallel, and returns (archive, members).
+def archives(bodies: DataFrame, kind: str = "tgz", members: int = 10_000, name: str = "doc_id", body: str = "json", ext: str = "json") -> DataFrame:
+    """(archive, members, content): the (name, body) rows packed into archives of at most ``members`` members each, in parallel. The same rows give the same bytes."""
 
-    ``folder`` is one that all executors share. A retried task writes the same file again.
-    """
-    os.makedirs(folder, exist_ok=True)
+    def packed(rows: list[tuple[str, str]]) -> bytes:
+        out = io.BytesIO()
+        if kind == "zip":
+            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+                for n, t in rows:
+                    z.writestr(zipfile.ZipInfo(f"{n}.{ext}"), t, zipfile.ZIP_DEFLATED)
+        else:
+            with gzip.GzipFile(fileobj=out, mode="wb", mtime=0) as file, tarfile.open(fileobj=file, mode="w") as z:
+                for n, t in rows:
+                    info = tarfile.TarInfo(f"{n}.{ext}")
+                    info.size = len(data := t.encode())
+                    z.addfile(info, io.BytesIO(data))
+        return out.getvalue()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         part, k, rows = TaskContext.get().partitionId(), 0, []
-        out = []
 
-        def flush() -> None:
+        def flush() -> pd.DataFrame:
             nonlocal k, rows
-            path = os.path.join(folder, f"part-{part:05d}-{k:03d}.{kind}")
-            with open(path + ".tmp", "wb") as file:
-                if kind == "zip":
-                    with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
-                        for n, t in rows:
-                            z.writestr(f"{n}.{ext}", t)
-                else:
-                    with tarfile.open(fileobj=file, mode="w:gz") as z:
-                        for n, t in rows:
-                            info = tarfile.TarInfo(f"{n}.{ext}")
-                            info.size = len(data := t.encode())
-                            z.addfile(info, io.BytesIO(data))
-            os.replace(path + ".tmp", path)
-            out.append((path, len(rows)))
-            k, rows = k + 1, []
+            full, rows, k = rows, [], k + 1
+            return pd.DataFrame([(f"part-{part:05d}-{k - 1:03d}.{kind}", len(full), packed(full))], columns=["archive", "members", "content"])
 
         for b in batches:
             for n, t in zip(b[name], b[body]):
                 rows.append((n, t))
                 if len(rows) == members:
-                    flush()
+                    yield flush()
         if rows:
-            flush()
-        yield pd.DataFrame(out, columns=["archive", "members"])
+            yield flush()
+
+    return bodies.select(F.col(name).cast("string").alias(name), body).mapInPandas(run, "archive string, members int, content binary")
+
+
+def write_archives(bodies: DataFrame, folder: str, kind: str = "tgz", members: int = 10_000, **options) -> DataFrame:
+    """Writes archives() as files of ``folder``, an absolute path or a URI of any file system that all executors reach, and returns (archive, members).
+
+    Each executor writes its own archives under a temporary name and moves them in place; a retried task writes the same
+    bytes again.
+    """
+
+    def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = pafs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b["archive"], b["content"]):
+                with system.open_output_stream(f"{base}/{name}.tmp") as out:
+                    out.write(content)
+                system.move(f"{base}/{name}.tmp", f"{base}/{name}")
+            yield pd.DataFrame({"archive": [f"{folder.rstrip('/')}/{n}" for n in b["archive"]], "members": b["members"]})
 
-    return bodies.select(F.col(name).cast("string").alias(name), body).mapInPandas(run, "archive string, members int")
+    return archives(bodies, kind, members, **options).mapInPandas(store, "archive string, members int")

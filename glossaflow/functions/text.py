@@ -6,9 +6,11 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from glossaflow.functions import stemming
 
@@ -58,6 +60,26 @@ def byte_offset(text: Column, place: Column) -> Column:
     return F.octet_length(F.substring(text, F.lit(1), place))
 
 
+def byte_places(text: Column, places: Column) -> Column:
+    """The UTF-8 byte offsets of many code-point offsets of a text, by one pass over it; a place beyond the text counts on from its end. Null for null."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def counted(texts: pd.Series, spots: pd.Series) -> pd.Series:
+        def one(t: str | None, at) -> np.ndarray | None:
+            if t is None or at is None:
+                return None
+            at = np.asarray(at, dtype=np.int64)
+            if t.isascii():
+                return at
+            codes = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32)
+            more = np.concatenate(([0], np.cumsum((codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF))))
+            return at + more[np.clip(at, 0, len(codes))]
+
+        return pd.Series([one(t, a) for t, a in zip(texts, spots)])
+
+    return counted(text, places)
+
+
 def code_point_offset(text: Column, place: Column) -> Column:
     """The code-point offset of a UTF-8 byte offset at a character border."""
     return F.length(F.decode(F.substring(F.encode(text, "UTF-8"), F.lit(1), place), "UTF-8"))

@@ -185,8 +185,9 @@ def norm_stem_lancaster(spark, sf_dir):
 
 @query(f"{_DOC_TOKENS} SELECT d.doc_id, count(*) AS n, CAST(sum(strlen(substring(d.text, 1, CAST(start_ AS BIGINT)))) AS BIGINT) AS byte_starts FROM tok JOIN docs d USING (doc_id) GROUP BY 1")
 def byte_offsets(spark, sf_dir):
-    t = recognize.token_spans(spread(docs(spark, sf_dir))).select("doc_id", "text", F.explode("tokens").alias("t"))
-    return t.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(T.byte_offset(F.col("text"), F.col("t.start")).cast("bigint")).alias("byte_starts"))
+    t = recognize.token_spans(spread(docs(spark, sf_dir))).where("size(tokens) > 0")
+    places = t.select("doc_id", T.byte_places(F.col("text"), F.transform("tokens", lambda x: x["start"])).alias("p"))
+    return places.select("doc_id", F.size("p").cast("bigint").alias("n"), F.aggregate("p", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("byte_starts"))
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '\s', ' ', 'g') AS line FROM documents WHERE text IS NOT NULL")

@@ -85,9 +85,12 @@ def bioc_documents(content: Content, sentence_level: bool = False, byte_offsets:
     def at(df: DataFrame) -> DataFrame:
         if whole is None:
             return df.withColumn("offset", F.col("start")).withColumn("length", F.col("end") - F.col("start"))
-        b = df.join(whole, "doc_id")
-        first = T.byte_offset(F.col("__whole"), F.col("start") - F.col("__base"))
-        return b.withColumn("offset", first + F.col("__base")).withColumn("length", T.byte_offset(F.col("__whole"), F.col("end") - F.col("__base")) - first).drop("__whole", "__base")
+        # the text of an article meets all its rows at once, and is read once
+        rows = df.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in df.columns if c != "doc_id"])).alias("__rows")).join(whole, "doc_id")
+        begins, ends = F.transform("__rows", lambda r: r["start"] - F.col("__base")), F.transform("__rows", lambda r: r["end"] - F.col("__base"))
+        places = [T.byte_places(F.col("__whole"), begins).alias("__start"), T.byte_places(F.col("__whole"), ends).alias("__end")]
+        each = rows.select("doc_id", "__base", "__rows", *places).select("doc_id", "__base", F.explode(F.arrays_zip("__rows", "__start", "__end")).alias("x"))
+        return each.select("doc_id", "x.__rows.*", (F.col("x.__start") + F.col("__base")).alias("offset"), (F.col("x.__end") - F.col("x.__start")).alias("length"))
 
     infons = F.map_from_arrays(F.array(*[F.lit(f) for f in INFO]), F.array(*[F.coalesce(f, F.lit("")) for f in INFO]))
     one = F.to_json(F.struct("id", infons.alias("infons"), "text", F.array(F.struct("offset", "length")).alias("locations")))

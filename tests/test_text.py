@@ -50,3 +50,14 @@ def test_sections_and_sentences(spark):
 def test_stems():
     assert [stemming.porter(w) for w in "caresses ponies hopping relational happy controlling".split()] == "caress poni hop relat happi control".split()
     assert [stemming.lancaster(w) for w in "maximum presumably multiply provision saying".split()] == "maxim presum multiply provid say".split()
+
+
+def test_byte_places_in_one_pass(spark):
+    from pyspark.sql import functions as F
+
+    from glossaflow.functions import text as T
+
+    texts = ["aé小😀b", "plain", "", None, "é" * 20_000]
+    rows = [(t, None if t is None else list(range(0, len(t) + 1, max(1, len(t) // 7)))) for t in texts]
+    got = spark.createDataFrame(rows, "t string, at array<int>").select("t", "at", T.byte_places(F.col("t"), F.col("at")).alias("b")).collect()
+    assert all(r.b == (None if r.t is None else [len(r.t[:i].encode()) for i in r["at"]]) for r in got)

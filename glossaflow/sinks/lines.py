@@ -14,12 +14,14 @@ from glossaflow.schema import INFO
 TSV_HEADER = ["DOCUMENT ID", "TYPE", "START POSITION", "END POSITION", "MATCHED TERM", "PREFERRED FORM", "ENTITY ID", "ZONE", "SENTENCE ID", "ORIGIN", "UMLS CUI"]
 #: Tags for outside, inside, begin, end and single.
 TAGSETS = {"IOBES": dict(zip("OIBES", "OIBES")), "IOB": dict(zip("OIBES", "OIBIB")), "IO": dict(zip("OIBES", "OIIII"))}
+#: T.WORD_PUNCT in Python.
+WORDS = r"\w+|[^\w\s]+"
 _SENT = ["doc_id", "sec_id", "sent_id"]
 
 
 def word_tokens(content: Content, pattern: str = T.WORD_PUNCT) -> DataFrame:
     """(doc_id, sec_id, sent_id, sent_no, tok_id, token, start, end) of all sentences."""
-    regex = r"\w+|[^\w\s]+" if pattern == T.WORD_PUNCT else pattern
+    regex = WORDS if pattern == T.WORD_PUNCT else pattern
     spans = token_spans(content.sentences.select(*_SENT, "sent_no", "text", "start"), start="start", pattern=regex)
     return spans.select(*_SENT, "sent_no", F.posexplode("tokens").alias("tok_id", "t")).select(*_SENT, "sent_no", "tok_id", "t.token", "t.start", "t.end")
 
